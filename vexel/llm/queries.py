@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm import chat, katz, lang_gru, packing, substring_dedup
-from vexel.llm.session import held_out
+from vexel.llm import chat, katz, lang_gru, packing, substring_dedup, toxicity
+from vexel.llm.session import held_out, small
 
 
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,5 +38,12 @@ def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(docs, model, words)
 
 
-QUERIES = {"op9_katz_backoff": op9_katz_backoff, "op4_sentence_spans": op4_sentence_spans, "op5_language_gru": op5_language_gru, "op6_chat_format": op6_chat_format, "op7_best_fit_packing": op7_best_fit_packing}
+def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", held_out("doc_id", 3, 1), "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic in (0, 1)").select("doc_id", F.col("toxic").alias("label"))
+    learnt = docs.where("not held_out").join(small(labels.where(~held_out("doc_id", 3, 1)), 2_000_000), "doc_id")
+    return toxicity.score(docs, toxicity.train(learnt), ("doc_id", "held_out"))
+
+
+QUERIES = {"op9_katz_backoff": op9_katz_backoff, "op10_toxicity_fm": op10_toxicity_fm, "op4_sentence_spans": op4_sentence_spans, "op5_language_gru": op5_language_gru, "op6_chat_format": op6_chat_format, "op7_best_fit_packing": op7_best_fit_packing}
 ORACLES: dict[str, str] = {}

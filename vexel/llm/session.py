@@ -32,3 +32,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def held_out(doc_id: str, modulus: int, remainder: int):
     """Whether crc32 of the id as text leaves this remainder."""
     return (F.crc32(F.col(doc_id).cast("string")) % modulus == remainder).alias("held_out")
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """The table, marked for broadcast if it has at most so many rows; else as it is, and joins shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -45,23 +45,37 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+#: As _LOWER, but only letters, digits and bytes from 128 on belong to words.
+ALNUM = np.full(256, 32, np.uint8)
+ALNUM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = [*range(48, 58), *range(97, 123), *range(128, 256)]
+ALNUM[65:91] = np.arange(97, 123)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of the texts, in order, and where each text's words begin (one more than texts)."""
+    (hashes,), offsets = run_hashes(texts, _LOWER, (None,))
+    return hashes, offsets
+
+
+def run_hashes(texts: list[bytes], table: np.ndarray, prefixes: tuple[int | None, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the words that `table` (byte -> byte, 32 between words) leaves: of their first so many bytes, or of all (None)."""
     lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8) if texts else np.zeros(0, np.uint8)
     if not len(buf):
-        return np.zeros(0, U64), np.zeros(len(texts) + 1, np.int64)
-    low = _LOWER[buf]
-    inside = low != 32
-    change = np.diff(inside, prepend=False).nonzero()[0]
+        return [np.zeros(0, U64) for _ in prefixes], np.zeros(len(texts) + 1, np.int64)
+    low = table[buf]
+    change = np.diff(low != 32, prepend=False).nonzero()[0]
     starts, ends = change[0::2], change[1::2]
     powers, inverse = _power_tables(len(buf))
     total = np.cumsum(_VALUE[low] * powers[: len(buf)])
-    upto = total[ends - 1]
     before = np.where(starts > 0, total[starts - 1], U64(0))
     offsets = np.zeros(len(texts) + 1, np.int64)
     offsets[1:] = np.searchsorted(starts, np.cumsum(lengths), side="left")
-    return mix((upto - before) * inverse[starts]), offsets
+    out = []
+    for n in prefixes:
+        last = ends if n is None else np.minimum(ends, starts + n)
+        out.append(mix((total[last - 1] - before) * inverse[starts]))
+    return out, offsets
 
 
 def shingles(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
