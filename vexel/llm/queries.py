@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm import chat, katz, lang_gru, packing, substring_dedup, toxicity
+from vexel.llm import chat, katz, lang_gru, packing, rp_forest, substring_dedup, toxicity
 from vexel.llm.session import held_out, small
 
 
+def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return rp_forest.neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return substring_dedup.dedup(docs).select("doc_id", "n_sentences", "n_removed", "text")
@@ -45,5 +50,5 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(learnt), ("doc_id", "held_out"))
 
 
-QUERIES = {"op9_katz_backoff": op9_katz_backoff, "op10_toxicity_fm": op10_toxicity_fm, "op4_sentence_spans": op4_sentence_spans, "op5_language_gru": op5_language_gru, "op6_chat_format": op6_chat_format, "op7_best_fit_packing": op7_best_fit_packing}
+QUERIES = {f.__name__: f for f in (op1_rp_forest, op4_sentence_spans, op5_language_gru, op6_chat_format, op7_best_fit_packing, op9_katz_backoff, op10_toxicity_fm)}
 ORACLES: dict[str, str] = {}
