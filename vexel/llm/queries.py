@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm import chat, katz, lang_gru, packing, rp_forest, substring_dedup, toxicity
+from vexel.llm import chat, decontam, katz, lang_gru, packing, rp_forest, substring_dedup, toxicity
 from vexel.llm.session import held_out, small
 
 
@@ -14,6 +14,12 @@ def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.neighbours(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op2_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontam.matches(docs, items)
+
+
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return substring_dedup.dedup(docs).select("doc_id", "n_sentences", "n_removed", "text")
@@ -50,5 +56,5 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(learnt), ("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rp_forest, op4_sentence_spans, op5_language_gru, op6_chat_format, op7_best_fit_packing, op9_katz_backoff, op10_toxicity_fm)}
+QUERIES = {f.__name__: f for f in (op1_rp_forest, op2_cgk_decontamination, op4_sentence_spans, op5_language_gru, op6_chat_format, op7_best_fit_packing, op9_katz_backoff, op10_toxicity_fm)}
 ORACLES: dict[str, str] = {}
