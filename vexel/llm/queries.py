@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm import chat, decontam, katz, lang_gru, packing, rp_forest, substring_dedup, toxicity
+from vexel.llm import chat, decontam, jaccard_join, katz, lang_gru, packing, rp_forest, substring_dedup, toxicity
 from vexel.llm.session import held_out, small
 
 
@@ -43,6 +43,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", held_out("doc_id", 10, 0), "text")
     model, words = katz.train(docs.where("not held_out"))
@@ -56,5 +60,5 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(learnt), ("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rp_forest, op2_cgk_decontamination, op4_sentence_spans, op5_language_gru, op6_chat_format, op7_best_fit_packing, op9_katz_backoff, op10_toxicity_fm)}
+QUERIES = {f.__name__: f for f in (op1_rp_forest, op2_cgk_decontamination, op4_sentence_spans, op5_language_gru, op6_chat_format, op7_best_fit_packing, op8_jaccard_join, op9_katz_backoff, op10_toxicity_fm)}
 ORACLES: dict[str, str] = {}
