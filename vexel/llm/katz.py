@@ -6,8 +6,8 @@ those of vexel.llm.words, known by their hashes.
 * Words: every word of the training texts is counted, in a table partitioned by word. P(w) = d(c) c / N, where d is the
   Good-Turing discount of counts up to 5; the mass that it frees is the unknown word's.
 * Longer n-grams, up to `order`: kept are all whose count is at least `share` of the training tokens. There are at most
-  1 / share of each length, whatever the corpus, which bounds what is broadcast. They are found exactly: one with that
-  share has it in some block of the texts, so blocks propose candidates, and a second pass counts these everywhere.
+  1 / share of each length, whatever the corpus, which bounds what is broadcast. They are found exactly: a first pass
+  counts buckets of n-grams, a fixed number of them, and a second one the n-grams of buckets that reach the share.
   P(w|h) = d(c) c(hw) / c(h), and for pairs not kept a(h) P(w|h'), h' being h without its first word; a(h) makes the
   sum over all events one. Where nothing is left for other words, c(h) counts one more.
 * Scoring recurses along a text: words of that share and kept n-grams are looked up in the broadcast tables, other words
@@ -19,6 +19,7 @@ text all mass is the unknown word's.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ from vexel.llm.words import U64, mix, segments, text_chunks, word_hashes
 
 END = U64(0x1D8AF0C3E5B79264)
 SHARE, ORDER, DISCOUNTED = 1e-6, 3, 5
-BLOCK = 4_000_000
+BLOCK = 3_000_000
+BUCKET_BITS = 22
 
 
 class Index:
@@ -239,6 +241,50 @@ def word_table(train: DataFrame) -> DataFrame:
     return written(partial.groupBy("word").agg(F.sum("c").alias("c")), "words")
 
 
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys) >> U64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _heavy_buckets(docs: DataFrame, keys, least: int) -> np.ndarray:
+    """For each of 2**BUCKET_BITS buckets of n-grams, whether all its n-grams together occur `least` times or more."""
+    slices = 1 << (BUCKET_BITS - 14)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int32)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            found, counts = counted(np.concatenate([*held, np.zeros(0, np.int64)]))
+            total[found] += counts.astype(np.int32)
+            held.clear()
+
+        for batch in batches:
+            for _, _, texts in text_chunks(batch, 0):
+                held.append(_bucket(keys(*tokens(texts))))
+                if sum(map(len, held)) >= 1 << 20:
+                    add()
+        add()
+        if total.any():
+            packed = [zlib.compress(part.tobytes(), 1) for part in total.reshape(slices, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices, dtype=np.int32)), pa.array(packed, pa.binary())], names=["part", "counts"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = np.frombuffer(zlib.decompress(counts), np.int32)
+                sums[part] = sums[part] + found if part in sums else found.astype(np.int64)
+        packed = [np.packbits(v >= least).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], names=["part", "bits"])
+
+    counts = docs.select("text").mapInArrow(run, "part int, counts binary")
+    found = counts.repartition("part").mapInArrow(merge, "part int, bits binary").collect()
+    heavy = np.zeros((slices, (1 << BUCKET_BITS) // slices), bool)
+    for row in found:
+        heavy[row["part"]] = np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool)
+    return heavy.ravel()
+
+
 def train(docs: DataFrame, order: int = ORDER, share: float = SHARE) -> tuple[Model, DataFrame]:
     """The model from a table with column text, and the word table."""
     words = word_table(docs)
@@ -260,25 +306,12 @@ def train(docs: DataFrame, order: int = ORDER, share: float = SHARE) -> tuple[Mo
             at = (before >= 0) & (chains[0] >= 0)
             return (before[at].astype(U64) << U64(32)) | chains[0][at].astype(U64)
 
-        def propose(state: list[np.ndarray], size: int) -> Iterator[pa.RecordBatch]:
-            values, counts = counted(np.concatenate(state))
-            yield _rows(key=values[counts >= share * size])
-
-        candidates = _training_tokens(docs, (keys, propose), "key long").distinct()
-        if total > BLOCK:
-            candidates = written(candidates, "ngrams")
-        if total > BLOCK and candidates.count() <= 4 / share:
-            known = spark.sparkContext.broadcast(np.sort(candidates.toArrow()["key"].to_numpy().view(U64)))
-
-            def count(state: list[np.ndarray], _: int, known=known) -> Iterator[pa.RecordBatch]:
-                values, counts = counted(np.concatenate(state))
-                keep = np.isin(values, known.value, assume_unique=True)
-                yield _rows(key=values[keep], c=counts[keep].astype(np.int64))
-        else:  # so few texts, or so uneven ones, that every pair is counted
-
-            def count(state: list[np.ndarray], _: int) -> Iterator[pa.RecordBatch]:
-                values, counts = counted(np.concatenate(state))
-                yield _rows(key=values, c=counts.astype(np.int64))
+        heavy = spark.sparkContext.broadcast(_heavy_buckets(docs, keys, least))
+
+        def count(state: list[np.ndarray], _: int, heavy=heavy) -> Iterator[pa.RecordBatch]:
+            values = np.concatenate(state)
+            values, counts = counted(values[heavy.value[_bucket(values)]])
+            yield _rows(key=values, c=counts.astype(np.int64))
 
         grams = _training_tokens(docs, (keys, count), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toArrow()
         key = grams["key"].to_numpy().view(U64)
