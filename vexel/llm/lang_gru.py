@@ -210,4 +210,4 @@ def identify(docs: DataFrame, net: Net | None, keys: tuple[str, ...] = ("doc_id"
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(np.minimum(top, 1.0))], names=[*keys, "lang_pred", "score"])
 
     shown = F.when(has_letter(F.col("text")), F.col("text")).otherwise("")
-    return docs.select(shown.alias("text"), *keys).mapInArrow(run, schema)
+    return docs.select(shown.alias("__shown"), *keys).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm import chat, decontam, jaccard_join, katz, lang_gru, packing, rp_forest, substring_dedup, toxicity
+from vexel.llm import chat, decontam, jaccard_join, katz, lang_gru, packing, rp_forest, substring_dedup, toxicity, url_filter
 from vexel.llm.session import held_out, small
 
 
@@ -20,6 +20,44 @@ def op2_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(docs, items)
 
 
+#: The days of the captures and the lists' events are made from page_id and host by rules that SQL can state as well.
+FETCHED = "date_add(date'2024-01-01', cast(pmod(page_id * 37, 365) as int))"
+EVENTS = """
+with hosts as (select distinct regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1) as host from pages),
+domains as (select host as domain from hosts union select regexp_replace(host, '^[^.]+[.]', '') from hosts),
+numbers as (select domain, cast(conv(substr(md5(domain), 1, 6), 16, 10) as bigint) as h from domains)
+select 'spam' as list_name, domain, date_add(date'2024-01-01', cast(h % 300 as int)) as on_date, 'add' as action from numbers where h % 3 = 0
+union all select 'spam', domain, date_add(date'2024-01-01', cast(h % 300 as int) + 45), 'remove' from numbers where h % 6 = 0
+union all select 'adult', domain, date_add(date'2024-01-01', cast(h % 200 as int)), 'add' from numbers where h % 5 = 0
+union all select 'allow', domain, date_add(date'2024-01-01', cast(h % 250 as int)), 'add' from numbers where h % 7 = 0
+"""
+OP3_SQL = r"""
+with captures as (select page_id, date '2024-01-01' + cast((page_id * 37) % 365 as int) as fetched_on,
+  nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '\.$', ''), '') as host from pages),
+hosts as (select distinct regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1) as host from pages),
+domains as (select host as domain from hosts union select regexp_replace(host, '^[^.]+[.]', '') from hosts),
+numbers as (select domain, cast('0x' || substr(md5(domain), 1, 6) as bigint) as h from domains),
+events as (select 'spam' as list_name, domain, date '2024-01-01' + cast(h % 300 as int) as on_date, 'add' as action from numbers where h % 3 = 0
+  union all select 'spam', domain, date '2024-01-01' + cast(h % 300 + 45 as int), 'remove' from numbers where h % 6 = 0
+  union all select 'adult', domain, date '2024-01-01' + cast(h % 200 as int), 'add' from numbers where h % 5 = 0
+  union all select 'allow', domain, date '2024-01-01' + cast(h % 250 as int), 'add' from numbers where h % 7 = 0),
+spans as (select *, lead(on_date) over (partition by list_name, domain order by on_date, action) as valid_to from events),
+ranked as (select c.page_id, e.list_name, e.domain, row_number() over (partition by c.page_id order by
+    -len(string_split(e.domain, '.')), case when e.list_name = 'allow' then 0 else 1 end, e.list_name) as k
+  from captures c join spans e on e.action = 'add' and (c.host = e.domain or ends_with(c.host, '.' || e.domain))
+    and c.fetched_on >= e.on_date and (e.valid_to is null or c.fetched_on < e.valid_to))
+select c.page_id, c.host, c.fetched_on, coalesce(r.list_name <> 'allow', false) as blocked, r.list_name, r.domain
+from captures c left join ranked r on r.page_id = c.page_id and r.k = 1
+"""
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    events = spark.sql(EVENTS.replace("from pages", "from {pages}"), pages=pages)
+    captures = pages.withColumn("fetched_on", F.expr(FETCHED))
+    return url_filter.evaluate(captures, events).select("page_id", "host", "fetched_on", "blocked", "list_name", "domain")
+
+
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return substring_dedup.dedup(docs).select("doc_id", "n_sentences", "n_removed", "text")
@@ -60,5 +98,5 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(learnt), ("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rp_forest, op2_cgk_decontamination, op4_sentence_spans, op5_language_gru, op6_chat_format, op7_best_fit_packing, op8_jaccard_join, op9_katz_backoff, op10_toxicity_fm)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_rp_forest, op2_cgk_decontamination, op3_url_filter, op4_sentence_spans, op5_language_gru, op6_chat_format, op7_best_fit_packing, op8_jaccard_join, op9_katz_backoff, op10_toxicity_fm)}
+ORACLES = {"op3_url_filter": OP3_SQL}
