@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vexel.operators.running import running_total
+
 
 @dataclass
 class Result:
@@ -182,10 +184,8 @@ def sample_coreset(rows: DataFrame, n: int) -> list:
 def sample_importance(rows: DataFrame, weight: str, n: int, seed: int = 1) -> DataFrame:
     """n draws with replacement, by weight: id, draws. Each row's count of draws is the number of even marks it covers."""
     total = rows.agg(F.sum(weight)).first()[0] or 0.0
-    part = rows.select("id", F.col(weight).cast("double").alias("w")).repartitionByRange("id").sortWithinPartitions("id")
-    numbered = part.withColumn("p", F.spark_partition_id())
-    starts = numbered.groupBy("p").agg(F.sum("w").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    run = F.sum("w").over(Window.partitionBy("p").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    part = rows.select("id", F.col(weight).cast("double").alias("w"), F.xxhash64("id").cast("double").alias("o"))
+    ends = running_total(part, "o", "id", "w", "end")
     shift = float(np.random.default_rng(seed).random())
     ends = numbered.join(F.broadcast(starts.select("p", "before")), "p").withColumn("end", F.col("before") + run)
     marks = lambda x: F.floor(x / total * n + shift)
