@@ -187,7 +187,6 @@ def sample_importance(rows: DataFrame, weight: str, n: int, seed: int = 1) -> Da
     part = rows.select("id", F.col(weight).cast("double").alias("w"), F.xxhash64("id").cast("double").alias("o"))
     ends = running_total(part, "o", "id", "w", "end")
     shift = float(np.random.default_rng(seed).random())
-    ends = numbered.join(F.broadcast(starts.select("p", "before")), "p").withColumn("end", F.col("before") + run)
     marks = lambda x: F.floor(x / total * n + shift)
     return ends.select("id", (marks(F.col("end")) - marks(F.col("end") - F.col("w"))).cast("int").alias("draws")).where("draws > 0")
 
