@@ -9,10 +9,9 @@ when their Jaccard similarity is at least 3/4, that is 7 * common >= 3 * (sum of
 3. Light sets, up to a boundary size, are keyed by all pairs (the fixed-size subsets) of these first shingles, heavy
    sets by the single ones: they scan the shingles' inverted lists, into which light sets go where a heavy one can reach
    them. The boundary minimises the expected cost over the size histogram.
-4. Sets that share a key, and that the sizes and the places in the order let link, are candidates. First each set is
-   compared with one leader: that which stands first in most of its lists. The links found give components. Then,
-   list by list, all candidates that are still in different components are compared. So copies in any number take one
-   comparison each, and no link between components is missed.
+4. Candidates are sets that share a key and whose sizes, and places in the order, let them link. First each set is compared with one leader: that which stands first in most of its lists. The links found
+   give components. Then, list by list, all candidates that are still in different components are compared. So copies
+   in any number take one comparison each, and no link between components is missed.
 5. Comparison is by the sets' 64-bit shingle hashes.
 
 Null and empty texts have the empty set: n_shingles 0, linked with nothing. Repeated rows come out each, and link as
@@ -34,7 +33,7 @@ from vexel.llm.session import shared_dir, small, written
 from vexel.llm.sketch import bucket, bucket_counts
 from vexel.llm.words import U64, mix, shingles, text_chunks, word_hashes
 
-WORDS, BITS = 5, 22
+WORDS, BITS, SKETCH = 5, 22, 2048
 
 
 def sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -139,9 +138,9 @@ def entries(docs: DataFrame, level: np.ndarray, light: int, words: int = WORDS)
 
 
 def may_link(n: str, place: str, m: str, other: str):
-    """Whether sizes and places let two sets of one list link; the bound is exact at their first common key."""
+    """Whether the places let two sets of one list link; true at the first common key of sets that do."""
     rest = F.least(F.col(n) - F.col(place), F.col(m) - F.col(other))
-    return (F.least(n, m) * 4 >= F.greatest(n, m) * 3) & (rest * 7 >= (F.col(n) + F.col(m)) * 3)
+    return rest * 7 >= (F.col(n) + F.col(m)) * 3
 
 
 def lists(found: DataFrame) -> DataFrame:
@@ -160,23 +159,53 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((large[at] == small).sum())
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The pairs (a, b of nodes) whose sets link."""
-    wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+def sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH bits: the parity of the shingles that fall on each. Two sets differ in at least as many shingles as their sketches in bits."""
+    return (np.bincount((mix(s) >> U64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) & 1).astype(bool)
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, reps: DataFrame, words: int, bits: bool) -> DataFrame:
+    """node, n and data (the set's hashes, or its sketch) of the wanted nodes, from one document of each (reps: node, doc_id)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array([h[2] for h in held], pa.binary())], names=["node", "n", "data"])
+
         for node, s in new_sets(batches, words):
-            held.append((node, s.tobytes()))
-            size += len(s)
-            if size > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held]), pa.array([h[1] for h in held], pa.binary())], names=["node", "items"])
+            data = np.packbits(sketch(s)).tobytes() if bits else s.tobytes()
+            held.append((node, len(s), data))
+            size += len(data)
+            if size > 1_000_000:
+                yield flush()
                 held, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary())], names=["node", "items"])
+        yield flush()
+
+    ids = reps.join(small(wanted, 1_000_000), "node", "left_semi").select("doc_id").distinct()
+    texts = docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).join(small(ids, 1_000_000), "doc_id", "left_semi").select("text")
+    return texts.mapInArrow(emit, "node long, n long, data binary").repartition("node")
 
-    # As many sets as take part; a set that several tasks passed on counts once.
-    known = docs.select("text").mapInArrow(emit, "node long, items binary").join(small(wanted, 1_000_000), "node", "left_semi")
-    known = known.groupBy("node").agg(F.any_value("items").alias("items"))
+
+def _ends(pairs: DataFrame, name: str) -> DataFrame:
+    return written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), name)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, words: int = WORDS) -> DataFrame:
+    """The pairs (a, b of nodes) whose sets link.
+
+    Sets that link differ in a seventh of the sum of their sizes at most; pairs whose sketches differ in more bits go
+    first, so that few whole sets move.
+    """
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+            differ = np.concatenate([np.bitwise_count(x[i : i + 4096] ^ y[i : i + 4096]).sum(axis=1) for i in range(0, len(x), 4096)])
+            keep = 7 * differ.astype(np.int64) <= batch.column(4).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,26 +216,36 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame
                 keep.append(7 * common(x, y) >= 3 * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    met = pairs.join(known.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    return met.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    def met(asked: DataFrame, known: DataFrame) -> DataFrame:
+        left, right = (known.select(F.col("node").alias(c), F.col("data").alias(f"{c}_data"), F.col("n").alias(f"{c}_n")) for c in ("a", "b"))
+        return left.join(small(asked, 1_000_000), "a").join(right, "b").select("a", "b", "a_data", "b_data", (F.col("a_n") + F.col("b_n")).alias("n"))
+
+    asked = written(pairs, "pairs")
+    likely = written(met(asked, _sets_of(docs, _ends(asked, "ends"), reps, words, True)).mapInArrow(close, "a long, b long").distinct(), "likely")
+    return met(likely, _sets_of(docs, _ends(likely, "ends"), reps, words, False)).mapInArrow(test, "a long, b long").distinct()
 
 
 def _cross(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidates of different components, list by list; rows come sorted by key."""
-
-    def pairs(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        g = g.sort_values(["n", "node"]).drop_duplicates("node")
-        n, place, comp, node = (g[c].to_numpy() for c in ("n", "place", "component", "node"))
-        end = np.searchsorted(n, n * 4 // 3, side="right")
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(len(g)):
-            j = np.arange(i + 1, end[i])
-            ok = (comp[j] != comp[i]) & (7 * np.minimum(n[i] - place[i], n[j] - place[j]) >= 3 * (n[i] + n[j]))
-            if ok.any():
-                out.append((np.full(int(ok.sum()), node[i]), node[j[ok]]))
-        if out:
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    """Candidates of different components, (a, b), list by list; rows come sorted by key, size, node."""
+
+    def pairs(key: np.ndarray, n: np.ndarray, node: np.ndarray, place: np.ndarray, comp: np.ndarray) -> Iterator[pd.DataFrame]:
+        new = np.ones(len(key), bool)  # several tasks may have passed on a set
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, n, node, place, comp = (x[new] for x in (key, n, node, place, comp))
+        at, step, out, held = np.arange(len(key)), 0, [], 0
+        while len(at):
+            step += 1
+            at = at[at + step < len(key)]
+            to = at + step
+            on = (key[to] == key[at]) & (4 * n[at] >= 3 * n[to])
+            at, to = at[on], to[on]
+            new = (comp[at] != comp[to]) & (7 * np.minimum(n[at] - place[at], n[to] - place[to]) >= 3 * (n[at] + n[to]))
+            out.append(np.stack([np.minimum(node[at[new]], node[to[new]]), np.maximum(node[at[new]], node[to[new]])]))
+            held += out[-1].shape[1]
+            if held > 500_000 or not len(at):
+                a, b = np.concatenate(out, axis=1)
+                yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+                out, held = [], 0
 
     rest = None
     for f in frames:
@@ -214,30 +253,28 @@ def _cross(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(f):
             continue
         key = f["key"].to_numpy()
-        last = 0 if key[0] == key[-1] else int(np.flatnonzero(key != key[-1])[-1]) + 1
+        last = int(np.searchsorted(key, key[-1]))
         rest = f.iloc[last:]
-        cuts = [0, *(np.flatnonzero(np.diff(key[:last])) + 1).tolist(), last]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b - a > 1:
-                yield from pairs(f.iloc[a:b])
-    if rest is not None and len(rest) > 1:
-        yield from pairs(rest)
+        yield from pairs(*(f[c].to_numpy()[:last] for c in ("key", "n", "node", "place", "component")))
+    if rest is not None:
+        yield from pairs(*(rest[c].to_numpy() for c in ("key", "n", "node", "place", "component")))
 
 
-def links(docs: DataFrame, sizes: dict[int, int], words: int = WORDS) -> DataFrame:
+def links(docs: DataFrame, sizes: dict[int, int], reps: DataFrame, words: int = WORDS) -> DataFrame:
     """Edges (a, b of nodes) that join just the nodes that links join: no link between components is missing."""
     counts = bucket_counts(docs, lambda texts: shingles(*word_hashes(texts), words)[0], BITS)
     light = boundary(sizes, counts)
     met = written(lists(entries(docs, levels(counts), light, words)), "lists")
-    led = met.where("node != leader").withColumns({"m": F.shiftright("lead", 32), "other": F.col("lead").bitwiseAND(F.lit(0xFFFFFFFF))}).where(may_link("n", "place", "m", "other"))
-    best = led.groupBy("node", "leader").agg(F.count("*").alias("times")).groupBy("node").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
-    near = written(verified(docs, best.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), words), "links")
+    led = met.where("node != leader").withColumns({"m": F.shiftright("lead", 32), "other": F.col("lead").bitwiseAND(F.lit(0xFFFFFFFF))})
+    led = led.where((F.least("n", "m") * 4 >= F.greatest("n", "m") * 3) & may_link("n", "place", "m", "other")).groupBy("node", "leader").agg(F.count("*").alias("times"))
+    best = led.groupBy("node").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
+    near = written(verified(docs, best.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), reps, words), "links")
     first = written(components(near), "components")
-    joined = met.join(first, "node", "left").select("key", "node", "n", "place", F.coalesce("component", "node").alias("component"))
+    joined = met.join(small(first, 1_000_000), "node", "left").select("key", "node", "n", "place", F.coalesce("component", "node").alias("component"))
     whole = Window.partitionBy("key")
     mixed = joined.withColumns({"lo": F.min("component").over(whole), "hi": F.max("component").over(whole)}).where("lo != hi").drop("lo", "hi")
-    cross = mixed.sortWithinPartitions("key").mapInPandas(_cross, "a long, b long").distinct()
-    more = written(verified(docs, written(cross, "cross"), words), "links")
+    cross = mixed.sortWithinPartitions("key", "n", "node").mapInPandas(_cross, "a long, b long").distinct()
+    more = written(verified(docs, cross, reps, words), "links")
     return near.unionByName(more)
 
 
@@ -249,7 +286,9 @@ def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     sizes = {r["n"]: r["count"] for r in all_nodes.where("n_shingles > 2").groupBy(binned.alias("n")).count().collect()}
     least = all_nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     if sizes:
-        comp = written(components(links(docs, sizes, words)), "components")
+        reps = written(least.select("node", F.col("least").alias("doc_id")), "reps")
+        least = reps.withColumnRenamed("doc_id", "least")
+        comp = written(components(links(docs, sizes, reps, words)), "components")
         joined = least.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
         least = joined.join(smallest, "component").select("node", "component_id")
