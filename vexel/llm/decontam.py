@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vexel.llm.katz import Index
 from vexel.llm.session import written
@@ -207,18 +208,18 @@ def matches(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, blo
         mine = items.where(F.coalesce(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)), F.lit(0)) == b).select("item_id", "text")
         rows = sorted(((r["item_id"], (r["text"] or "").encode()) for r in mine.collect()), key=lambda r: (str(r[0]), r[1]))
         now = spark.sparkContext.broadcast(plan(rows, max_edits, **options))
-        parts.append(docs.select("text", "doc_id").mapInArrow(_finder(now), f"doc_id {kind}, item_id {item_kind}, edits int"))
+        parts.append(docs.select("text", "doc_id").mapInArrow(_finder(now, to_arrow_type(items.schema["item_id"].dataType)), f"doc_id {kind}, item_id {item_kind}, edits int"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _finder(now):
+def _finder(now, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, texts in text_chunks(batch, 0):
                 (words,), offsets = run_hashes(texts, ALNUM, (None,))
                 found = leaks(now.value, words, offsets)
                 rows = pa.array([first + t for t, _, _ in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), pa.array([now.value.ids[i] for _, i, _ in found]) if found else pa.nulls(0, pa.int64()), pa.array([d for _, _, d in found], pa.int32())], names=["doc_id", "item_id", "edits"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), pa.array([now.value.ids[i] for _, i, _ in found], kind), pa.array([d for _, _, d in found], pa.int32())], names=["doc_id", "item_id", "edits"])
 
     return run
 

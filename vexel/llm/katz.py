@@ -320,8 +320,8 @@ def train(docs: DataFrame, order: int = ORDER, share: float = SHARE) -> tuple[Mo
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
-    """The rows' columns but text, with n_tokens, n_known, train_tokens, base_score and score (log10)."""
-    keep = [c for c in docs.columns if c != "text"]
+    """The rows' columns but text and those of these names, with n_tokens, n_known, train_tokens, base_score and score (log10)."""
+    keep = [c for c in docs.columns if c not in ("text", "n_tokens", "n_known", "train_tokens", "base_score", "score")]
     now = docs.sparkSession.sparkContext.broadcast(model)
     total, distinct = model.total, model.distinct
 
@@ -338,9 +338,9 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
                 logs = m.log_probs(ids, offsets)
                 doc = segments(offsets)
                 known = ids >= 0
-                base_sum = np.bincount(doc[known], weights=base[ids[known]], minlength=n)
+                base_sum = np.bincount(doc[known], weights=base[ids[known]], minlength=n).astype(float)  # integers where nothing is known
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uids[first:end]), pa.nulls(n, pa.int64()), pa.array(np.diff(offsets)), pa.array(np.bincount(doc[known], minlength=n)), pa.array(base_sum), pa.array(np.bincount(doc, weights=logs, minlength=n)), rest.slice(first, n)],
+                    [pa.array(uids[first:end]), pa.nulls(n, pa.int64()), pa.array(np.diff(offsets)), pa.array(np.bincount(doc[known], minlength=n)), pa.array(base_sum), pa.array(np.bincount(doc, weights=logs, minlength=n).astype(float)), rest.slice(first, n)],
                     names=names,
                 )
                 rare, rare_doc = hashes[~known], doc[~known]
