@@ -15,7 +15,7 @@ from vexel.llm import decontam, jaccard_join, lang_gru, packing, substring_dedup
 from vexel.llm.session import written
 
 #: A text whose language has a lower score than this is rejected, as are texts without a letter.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ when their Jaccard similarity is at least 3/4, that is 7 * common >= 3 * (sum of
 5. Comparison is by the sets' 64-bit shingle hashes.
 
 Null and empty texts have the empty set: n_shingles 0, linked with nothing. Repeated rows come out each, and link as
-equal sets do. Extra columns are not returned. Rows of one doc_id with several texts are linked only if their sets are.
+equal sets do. Rows without doc_id link with equal sets only, and have no component_id unless such a row has one.
+Extra columns are not returned. Rows of one doc_id with several texts are linked only if their sets are.
 """
 
 from __future__ import annotations
