@@ -156,10 +156,17 @@ def fit(windows: list[bytes], labels: np.ndarray, languages: list[str], hidden:
 def train(docs: DataFrame, docs_per_language: int = 300, windows: int = 6) -> Net | None:
     """A net from columns doc_id, text, lang; None if no row has both a text with a letter and a language."""
     usable = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("lang", "text", F.xxhash64("doc_id").alias("rank"))
-    order = Window.partitionBy("lang").orderBy("rank", "text")
-    sample = usable.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_language)
-    start = F.pmod(F.xxhash64("rank", "i"), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1
-    cut = sample.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(windows)))).select("lang", F.substring("text", start.cast("int"), F.lit(WINDOW)).alias("text"))
+    # Of a language with many documents only the lowest hashes, a few times as many as are wanted, are ranked at all.
+    share = {r["lang"]: min(1.0, 4 * docs_per_language / r["count"]) for r in usable.groupBy("lang").count().collect()}
+    if not share:
+        return None
+    below = F.create_map(*(F.lit(x) for lang, part in share.items() for x in (lang, part)))
+    drawn = usable.where((F.col("rank") / 2.0**64 + 0.5) <= F.element_at(below, F.col("lang")))
+    numbers = F.sequence(F.lit(1), F.lit(windows))
+    cuts = F.transform(numbers, lambda i: F.substring("text", (F.pmod(F.xxhash64("rank", i), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)))
+    order = Window.partitionBy("lang").orderBy("rank", "cuts")
+    sample = drawn.select("lang", "rank", cuts.alias("cuts")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_language)
+    cut = sample.select("lang", F.explode("cuts").alias("text"))
     rows = sorted(map(tuple, cut.collect()))  # languages * docs_per_language * windows short texts at most
     if not rows:
         return None
