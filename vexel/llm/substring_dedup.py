@@ -1,13 +1,14 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences: after `.`, `!` or `?` and white space, after line ends, and after 40 words without either.
-Concatenated, they give the text again. From every sentence starts a span: the shortest run of at least `sentences`
-sentences with at least `min_words` words; its 128-bit hash covers the lower-cased words. Spans with equal hashes are
+Concatenated, they give the text again. A span is a run of `sentences` sentences with at least `min_words` words; its
+128-bit hash covers the lower-cased words. Spans with equal hashes are
 joined over the whole corpus. The first (smallest doc_id, then position) keeps its place; sentences covered by any other
 are removed.
 
 Null texts stay null and take no part; empty texts stay empty. Rows that share doc_id are one document with several
-texts: what is first in one row is not a repeat in another at the same position. Extra columns stay as they are.
+texts: what is first in one row is not a repeat in another at the same position; rows without doc_id lose nothing.
+Extra columns stay as they are, but for those named n_sentences and n_removed.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SENTENCES, MIN_WORDS, LONGEST = 2, 20, 40
+SENTENCES, MIN_WORDS, LONGEST = 3, 12, 40
 _END = re.compile(r"[.!?]+\s+|\n\s*")
 _WORD = re.compile(r"\w+")
 
@@ -48,13 +49,11 @@ def sentences(text: str) -> list[str]:
 def spans(parts: list[str], least: int = SENTENCES, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
     """First sentence, number of sentences and hash of each span."""
     words = [_WORD.findall(p.lower()) for p in parts]
-    # A sentence without words joins no span of its own; it belongs to the spans around it.
     counts = np.cumsum([0, *map(len, words)])
     joined = [" ".join(w).encode() for w in words]
-    ends = np.maximum(np.searchsorted(counts, counts[:-1] + min_words, side="left"), np.arange(len(parts)) + least)
-    for i, end in enumerate(ends.tolist()):
-        if end <= len(parts) and words[i]:
-            yield i, end - i, hashlib.blake2b(b"\n".join(j for j in joined[i:end] if j), digest_size=16).digest()
+    for i in range(len(parts) - least + 1):
+        if counts[i + least] - counts[i] >= min_words:
+            yield i, least, hashlib.blake2b(b"\n".join(joined[i : i + least]), digest_size=16).digest()
 
 
 def _span_rows(docs: DataFrame, least: int, min_words: int) -> DataFrame:
@@ -85,7 +84,7 @@ def repeated(docs: DataFrame, least: int = SENTENCES, min_words: int = MIN_WORDS
 def dedup(docs: DataFrame, least: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with their remaining text, and columns n_sentences, n_removed (both int)."""
     names = docs.columns
-    cover = repeated(docs, least, min_words).withColumnRenamed("doc_id", "__doc")
+    cover = repeated(docs, least, min_words).select(F.col("doc_id").alias("__doc"), F.col("cover").alias("__cover"))
     joined = docs.join(cover, F.col("doc_id").cast("long") == F.col("__doc"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +104,6 @@ def dedup(docs: DataFrame, least: int = SENTENCES, min_words: int = MIN_WORDS) -
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kept = [c for c in names if c not in ("n_sentences", "n_removed")]
-    before = joined.select(*kept, F.col("cover").alias("__cover"))
+    before = joined.select(*kept, "__cover")
     schema = T.StructType([*before.drop("__cover").schema.fields, T.StructField("__n", T.IntegerType()), T.StructField("__r", T.IntegerType())])
     return before.mapInArrow(run, schema).withColumnsRenamed({"__n": "n_sentences", "__r": "n_removed"})
