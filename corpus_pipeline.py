@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vexel.llm import decontam, jaccard_join, lang_gru, packing, substring_dedup
-from vexel.llm.session import written
+from vexel.llm.session import small, written
 
 #: A text whose language has a lower score than this is rejected, as are texts without a letter.
 LEAST_SCORE = 0.3
@@ -28,7 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group that links join; of rows with equal id and text, one."""
     groups = written(jaccard_join.join(docs.select("doc_id", "text")), "groups")
-    kept = docs.join(groups.where("component_id != doc_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    gone = groups.where("component_id != doc_id").select("doc_id").distinct()
+    kept = docs.join(small(gone, 1_000_000), "doc_id", "left_anti")  # up to that many ids are broadcast; the texts then stay
     if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.select(docs.columns)
