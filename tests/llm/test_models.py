@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vexel.llm import katz, lang_gru, toxicity
+from vexel.llm import katz, lang_gru, queries, toxicity
 from vexel.llm.session import held_out
 
 
@@ -200,3 +200,18 @@ def test_toxicity_of_hard_rows(spark, hard, empty):
     assert toxicity.score(empty, machine).count() == 0
     assert toxicity.train(spark.createDataFrame(rows[:1], "doc_id long, text string, label int")) is None
     assert {r["score"] for r in toxicity.score(hard, None).collect()} == {0.0}
+
+
+def test_katz_keeps_every_ngram_of_more_than_a_million_tokens(spark, tmp_path):
+    rnd = random.Random(7)
+    draw = lambda: f"w{min(int(rnd.paretovariate(0.6)), 3000)}"
+    texts = [" ".join(draw() for _ in range(400)) for _ in range(3100)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op9_katz_backoff(spark, str(tmp_path)).collect()}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", held_out("doc_id", 10, 0), "text")
+    assert got[0]["train_tokens"] > 1_000_000
+    whole = {r["doc_id"]: r for r in katz.score(docs, *katz.train(docs.where("not held_out"), share=1e-9)).collect()}
+    assert got.keys() == whole.keys()
+    for d, r in whole.items():
+        assert got[d]["score"] == pytest.approx(r["score"]) and got[d]["base_score"] == pytest.approx(r["base_score"])
+        assert (got[d]["n_tokens"], got[d]["n_known"]) == (r["n_tokens"], r["n_known"])

@@ -5,13 +5,16 @@ those of vexel.llm.words, known by their hashes.
 
 * Words: every word of the training texts is counted, in a table partitioned by word. P(w) = d(c) c / N, where d is the
   Good-Turing discount of counts up to 5; the mass that it frees is the unknown word's.
-* Longer n-grams, up to `order`: kept are all whose count is at least `share` of the training tokens. There are at most
-  1 / share of each length, whatever the corpus, which bounds what is broadcast. They are found exactly: a first pass
-  counts buckets of n-grams, a fixed number of them, and a second one the n-grams of buckets that reach the share.
-  P(w|h) = d(c) c(hw) / c(h), and for pairs not kept a(h) P(w|h'), h' being h without its first word; a(h) makes the
-  sum over all events one. Where nothing is left for other words, c(h) counts one more.
-* Scoring recurses along a text: words of that share and kept n-grams are looked up in the broadcast tables, other words
-  in the partitioned table, by a join; their probabilities are added up by text.
+* Longer n-grams, up to `order`: every n-gram of the training texts is counted, whatever the corpus, in one table for each
+  length, partitioned by n-gram. P(w|h) = d(c) c(hw) / c(h), with d by Good-Turing for each length, and for pairs not seen
+  a(h) P(w|h'), h' being h without its first word; a(h) makes the sum over all events one. Where nothing is left for other
+  words, c(h) counts one more. N-grams are known by 64-bit hashes.
+* Scoring joins each text's n-grams with the table of the longest; those not found go on, with the weight of their context, to
+  the next shorter one, at last to the words. Their logarithms are added up by text, before they are shuffled.
+* Words of a share of at least `SHARE` of the training tokens are broadcast for the base score; others are joined.
+* With `share` given, train() keeps in memory only n-grams of that share of the training tokens (at most 1 / share of each
+  length), and score() broadcasts them. This model is pruned, and none of the registered queries uses it. Its n-grams are found
+  exactly: a first pass counts buckets of n-grams, and a second one the n-grams of buckets that reach the share.
 
 Null texts count as empty: their one token is the end. Repeated rows are scored, and learned, each. Without any training
 text all mass is the unknown word's.
@@ -101,6 +104,12 @@ class Model:
         self.backoff: list[np.ndarray] = []
         self.denominator = total if self.discount else total + 1
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        #: All longer n-grams, where they are in tables (see gram_tables).
+        self.order = 1
+        self.tables: list[tuple[DataFrame, DataFrame]] = []
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": []}
 
     def word_prob(self, c: np.ndarray) -> np.ndarray:
         d = np.asarray([1.0, *self.discount])[np.where(c <= len(self.discount), c, 0)]
@@ -285,16 +294,102 @@ def _heavy_buckets(docs: DataFrame, keys, least: int) -> np.ndarray:
     return heavy.ravel()
 
 
-def train(docs: DataFrame, order: int = ORDER, share: float = SHARE) -> tuple[Model, DataFrame]:
-    """The model from a table with column text, and the word table."""
+def gram_keys(hashes: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """By length, a key of the n-gram that ends at each position, and the positions in their texts; where a text has no such n-gram, a value that is no key."""
+    at = np.arange(len(hashes)) - np.repeat(offsets[:-1], np.diff(offsets))
+    keys = [hashes]
+    for n in range(1, order):
+        before = np.concatenate([hashes[:1], keys[-1][:-1]])
+        keys.append(np.where(at >= n, mix(mix(before) + hashes), mix(keys[-1] ^ U64(n))))
+    return keys, at
+
+
+def _gram_counts(train: DataFrame, n: int) -> DataFrame:
+    """key, context, low (the keys of all words but the last, and but the first), c: counts of all n-grams, as a written table."""
+
+    def step(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        keys, at = gram_keys(hashes, offsets, n)
+        i = np.flatnonzero(at >= n - 1)
+        return np.stack([keys[-1][i], keys[-2][i - 1], keys[-2][i]])
+
+    def end(state: list[np.ndarray], _: int) -> Iterator[pa.RecordBatch]:
+        key, context, low = np.concatenate(state, axis=1)
+        key, first, counts = np.unique(key, return_index=True, return_counts=True)
+        for i in range(0, len(key), 200_000):
+            j = slice(i, i + 200_000)
+            yield _rows(key=key[j], context=context[first[j]], low=low[first[j]], c=counts[j].astype(np.int64))
+
+    partial = _training_tokens(train, (step, end), "key long, context long, low long, c long")
+    return written(partial.groupBy("key").agg(F.min("context").alias("context"), F.min("low").alias("low"), F.sum("c").alias("c")), "grams")
+
+
+def _discounted(discount: list[float]):
+    """d(c) c, from column c."""
+    d = F.lit(1.0)
+    for r, x in enumerate(discount, 1):
+        d = F.when(F.col("c") == r, x).otherwise(d)
+    return d * F.col("c")
+
+
+def _of_counts(table: DataFrame) -> tuple[int, int, dict[int, int]]:
+    """Sum of column c, rows, and how many rows have each of the counts that Good-Turing needs."""
+    r = table.agg(F.sum("c").alias("total"), F.count("*").alias("distinct"), *(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, DISCOUNTED + 2))).first()
+    return r["total"] or 0, r["distinct"], {i: r[f"n{i}"] for i in range(1, DISCOUNTED + 2)}
+
+
+def gram_tables(docs: DataFrame, model: Model, words: DataFrame, order: int) -> list[tuple[DataFrame, DataFrame]]:
+    """For the lengths from 2 on: (key, c, p) of all n-grams, and (context, size, weight) of all their contexts."""
+    below = words.select(F.col("word").alias("key"), "c", (_discounted(model.discount) / float(model.denominator or 1)).alias("p"))
+    out = []
+    for n in range(2, order + 1):
+        grams = _gram_counts(docs, n)
+        total, _, of_counts = _of_counts(grams)
+        share = _discounted(good_turing(total, of_counts)[0])
+        grams = grams.join(below.select(F.col("key").alias("low"), F.col("p").alias("lower")), "low").select("key", "context", "c", share.alias("share"), "lower")
+        sums = grams.groupBy("context").agg(F.sum("share").alias("used"), F.sum("lower").alias("lower")).join(below.select(F.col("key").alias("context"), "c"), "context")
+        size = F.when(F.col("used") / F.col("c") > 1 - 1e-9, F.col("c") + 1).otherwise(F.col("c"))
+        contexts = sums.select("context", size.alias("size"), ((1 - F.col("used") / size) / F.greatest(1 - F.col("lower"), F.lit(1e-12))).alias("weight"))
+        contexts = written(contexts, "contexts")
+        below = written(grams.join(contexts, "context").select("key", "c", (F.col("share") / F.col("size")).alias("p")), "probabilities")
+        out.append((below, contexts))
+    return out
+
+
+def _gram_scores(rows: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+    """uid, score: sums by text (and by task) over rows uid, n, k1 .. (n-grams by length), x1 .. (the contexts before)."""
+    rows = rows.withColumn("score", F.lit(0.0))
+    done = []
+    for n in range(model.order, 1, -1):
+        grams, contexts = model.tables[n - 2]
+        left = [*(f"k{i}" for i in range(1, n)), *(f"x{i}" for i in range(1, n - 1))]
+        rows = rows.join(grams.select(F.col("key").alias(f"k{n}"), "p"), f"k{n}", "left")
+        hit = F.col("p").isNotNull()
+        value = F.when(hit, F.col("score") + F.col("n") * F.log10("p")).otherwise(F.col("score"))
+        # Found ones are one row a text and task before anything moves.
+        found = rows.select("uid", F.when(~hit, F.col("n")).alias("n"), *(F.when(~hit, F.col(c)).alias(c) for c in [*left, f"x{n - 1}"]), value.alias("score"))
+        found = written(found.groupBy(*[c for c in found.columns if c != "score"]).agg(F.sum("score").alias("score")), "scores")
+        done.append(found.where("k1 is null").select("uid", "score"))
+        rows = found.where("k1 is not null").join(contexts.select(F.col("context").alias(f"x{n - 1}"), "weight"), f"x{n - 1}", "left")
+        rows = rows.select("uid", "n", *left, (F.col("score") + F.col("n") * F.log10(F.coalesce("weight", F.lit(1.0)))).alias("score"))
+    prob = F.when(F.col("c") > 0, _discounted(model.discount) / float(model.denominator)).otherwise(model.unknown)
+    last = rows.join(words.withColumnRenamed("word", "k1"), "k1", "left").select("uid", (F.col("score") + F.col("n") * F.log10(prob)).alias("score"))
+    for d in done:
+        last = last.unionByName(d)
+    return last
+
+
+def train(docs: DataFrame, order: int = ORDER, share: float | None = None) -> tuple[Model, DataFrame]:
+    """The model from a table with column text, and the word table. With a share, n-grams below it are left out."""
     words = word_table(docs)
     spark = docs.sparkSession
-    stats = words.agg(F.sum("c").alias("total"), F.count("*").alias("distinct"), *(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, DISCOUNTED + 2))).first()
-    total = stats["total"] or 0
-    model = Model(total, stats["distinct"], {r: stats[f"n{r}"] for r in range(1, DISCOUNTED + 2)})
-    least = max(1, int(np.ceil(share * total)))
+    model = Model(*_of_counts(words))
+    least = max(1, int(np.ceil((share or SHARE) * model.total)))
     head = words.where(F.col("c") >= least).toArrow()  # at most 1 / share rows
     model.add_words(head["word"].to_numpy().view(U64), head["c"].to_numpy())
+    if share is None:
+        model.tables = gram_tables(docs, model, words, order)
+        model.order = order
+        return model, words
     for _ in range(2, order + 1):
         now = spark.sparkContext.broadcast(model)
 
@@ -323,7 +418,8 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """The rows' columns but text and those of these names, with n_tokens, n_known, train_tokens, base_score and score (log10)."""
     keep = [c for c in docs.columns if c not in ("text", "n_tokens", "n_known", "train_tokens", "base_score", "score")]
     now = docs.sparkSession.sparkContext.broadcast(model)
-    total, distinct = model.total, model.distinct
+    total, distinct, longest = model.total, model.distinct, model.order
+    extra = [*(f"k{i}" for i in range(1, longest + 1)), *(f"x{i}" for i in range(1, longest))] if longest > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = now.value
@@ -335,12 +431,12 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
                 hashes, offsets = tokens(texts)
                 n = end - first
                 ids = m.indexes[0].find(hashes)
-                logs = m.log_probs(ids, offsets)
+                logs = m.log_probs(ids, offsets) if longest == 1 else np.zeros(len(ids))
                 doc = segments(offsets)
                 known = ids >= 0
                 base_sum = np.bincount(doc[known], weights=base[ids[known]], minlength=n).astype(float)  # integers where nothing is known
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uids[first:end]), pa.nulls(n, pa.int64()), pa.array(np.diff(offsets)), pa.array(np.bincount(doc[known], minlength=n)), pa.array(base_sum), pa.array(np.bincount(doc, weights=logs, minlength=n).astype(float)), rest.slice(first, n)],
+                    [pa.array(uids[first:end]), pa.nulls(n, pa.int64()), pa.array(np.diff(offsets)), pa.array(np.bincount(doc[known], minlength=n)), pa.array(base_sum), pa.array(np.bincount(doc, weights=logs, minlength=n).astype(float)), rest.slice(first, n), *(pa.nulls(n, pa.int64()) for _ in extra)],
                     names=names,
                 )
                 rare, rare_doc = hashes[~known], doc[~known]
@@ -349,20 +445,29 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
                 new = np.flatnonzero((np.diff(rare, prepend=U64(0)) != 0) | (np.diff(rare_doc, prepend=-1) != 0))
                 times = np.diff(np.append(new, len(rare)))
                 k = len(new)
-                yield pa.RecordBatch.from_arrays([pa.array(uids[first:end][rare_doc[new]]), pa.array(rare[new].view(np.int64)), pa.array(times), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.nulls(k, rest.type)], names=names)
-
-    names = ["uid", "word", "n", "known", "base", "score", "rest"]
+                yield pa.RecordBatch.from_arrays([pa.array(uids[first:end][rare_doc[new]]), pa.array(rare[new].view(np.int64)), pa.array(times), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.nulls(k, rest.type), *(pa.nulls(k, pa.int64()) for _ in extra)], names=names)
+                if longest > 1:
+                    keys, at = gram_keys(hashes, offsets, longest)
+                    before = [np.where(at > 0, np.concatenate([x[:1], x[:-1]]), ~x) for x in keys[:-1]]
+                    sort = np.lexsort((keys[-1], doc))
+                    new = np.flatnonzero((np.diff(keys[-1][sort], prepend=U64(0)) != 0) | (np.diff(doc[sort], prepend=-1) != 0))
+                    times = np.diff(np.append(new, len(sort)))
+                    new, k = sort[new], len(new)
+                    yield pa.RecordBatch.from_arrays([pa.array(uids[first:end][doc[new]]), pa.nulls(k, pa.int64()), pa.array(times), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.nulls(k, rest.type), *(pa.array(x[new].view(np.int64)) for x in keys + before)], names=names)
+
+    names = ["uid", "word", "n", "known", "base", "score", "rest", *extra]
     kept = docs.select(F.struct(*keep).alias("rest")).schema["rest"].dataType.simpleString()
-    both = docs.select(F.monotonically_increasing_id(), "text", *keep).mapInArrow(run, f"uid long, word long, n long, known long, base double, score double, rest {kept}")
+    both = docs.select(F.monotonically_increasing_id(), "text", *keep).mapInArrow(run, f"uid long, word long, n long, known long, base double, score double, rest {kept}" + "".join(f", {c} long" for c in extra))
     both = written(both, "partial")
     c = F.coalesce(F.col("c"), F.lit(0))
-    d = F.lit(1.0)
-    for r, x in enumerate(model.discount, 1):
-        d = F.when(c == r, x).otherwise(d)
-    prob = F.when(c > 0, d * c / float(model.denominator)).otherwise(model.unknown)
+    prob = F.when(c > 0, _discounted(model.discount) / float(model.denominator)).otherwise(model.unknown)
     rare = both.where("word is not null").select("uid", "word", "n").join(words, "word", "left")
-    rare = rare.select("uid", F.lit(0).cast("long").alias("own"), "n", F.when(c > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))).alias("base"), (F.col("n") * F.log10(prob)).alias("score"))
+    rare = rare.select("uid", F.lit(0).cast("long").alias("own"), "n", F.when(c > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))).alias("base"), (F.col("n") * F.log10(prob) if longest == 1 else F.lit(0.0)).alias("score"))
     rare = rare.withColumn("rest", F.lit(None).cast(kept))
-    own = both.where("word is null").select("uid", F.col("n").alias("own"), F.lit(0).cast("long").alias("n"), "known", "base", "score", "rest")
+    own = both.where("word is null" if longest == 1 else "word is null and k1 is null").select("uid", F.col("n").alias("own"), F.lit(0).cast("long").alias("n"), "known", "base", "score", "rest")
+    if longest > 1:
+        grams = _gram_scores(both.where("k1 is not null").select("uid", "n", *extra), model, words)
+        zero = F.lit(0).cast("long")
+        rare = rare.unionByName(grams.select("uid", zero.alias("own"), zero.alias("n"), zero.alias("known"), F.lit(0.0).alias("base"), "score", F.lit(None).cast(kept).alias("rest")))
     found = own.unionByName(rare).groupBy("uid").agg(F.max("own").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"), F.any_value("rest", True).alias("rest"))
     return found.select("rest.*", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
