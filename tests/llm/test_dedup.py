@@ -165,3 +165,14 @@ def test_dedup_of_hard_rows(spark, hard, empty):
     texts = {r["doc_id"]: r["text"] for r in out.collect() if r["doc_id"] != 7}
     assert texts[1] == ENGLISH and texts[2] is None and texts[3] == "" and len(texts[6]) <= len(LONG) - len(ENGLISH)
     assert substring_dedup.dedup(empty).count() == 0
+
+
+def numbered(first, n):
+    return " ".join(f"v{i}" for i in range(first, first + n))
+
+
+def test_two_long_sentences_are_a_repeated_passage(spark):
+    passage = f"{numbered(0, 12)}. {numbered(20, 14)}. "
+    docs = [(i, f"{numbered(1000 * i, 9)}. {passage}{numbered(1000 * i + 500, 9)}.") for i in (1, 2)]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == docs[0][1] and got[2] == docs[1][1].replace(passage, "")

@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences: after `.`, `!` or `?` and white space, after line ends, and after 40 words without either.
-Concatenated, they give the text again. A span is a run of `sentences` sentences with at least `min_words` words; its
-128-bit hash covers the lower-cased words. Spans with equal hashes are
+Concatenated, they give the text again. A span is a run of `least` sentences with at least `min_words` words, or
+the shortest run of two or more sentences with RUN_WORDS words from a sentence on, or back from a sentence's end, so that
+both ends of a repeated passage are covered up to the sentences that it cuts. Its 128-bit hash covers the lower-cased words. Spans with equal hashes are
 joined over the whole corpus. The first (smallest doc_id, then position) keeps its place; sentences covered by any other
 are removed.
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SENTENCES, MIN_WORDS, LONGEST = 3, 12, 40
+RUN_WORDS = 20
 _END = re.compile(r"[.!?]+\s+|\n\s*")
 _WORD = re.compile(r"\w+")
 
@@ -51,9 +53,15 @@ def spans(parts: list[str], least: int = SENTENCES, min_words: int = MIN_WORDS)
     words = [_WORD.findall(p.lower()) for p in parts]
     counts = np.cumsum([0, *map(len, words)])
     joined = [" ".join(w).encode() for w in words]
-    for i in range(len(parts) - least + 1):
-        if counts[i + least] - counts[i] >= min_words:
-            yield i, least, hashlib.blake2b(b"\n".join(joined[i : i + least]), digest_size=16).digest()
+    n = len(parts)
+    at = np.arange(n + 1)
+    found = {(i, i + least) for i in range(n - least + 1) if counts[i + least] - counts[i] >= min_words}
+    ends = np.maximum(np.searchsorted(counts, counts + RUN_WORDS), at + 2)
+    found.update((i, j) for i, j in zip(at.tolist(), ends.tolist(), strict=True) if j <= n)
+    starts = np.minimum(np.searchsorted(counts, counts - RUN_WORDS, "right") - 1, at - 2)
+    found.update((i, j) for i, j in zip(starts.tolist(), at.tolist(), strict=True) if i >= 0)
+    for i, j in sorted(found):
+        yield i, j - i, hashlib.blake2b(b"\n".join(joined[i:j]), digest_size=16).digest()
 
 
 def _span_rows(docs: DataFrame, least: int, min_words: int) -> DataFrame:
