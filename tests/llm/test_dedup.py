@@ -176,3 +176,19 @@ def test_two_long_sentences_are_a_repeated_passage(spark):
     docs = [(i, f"{numbered(1000 * i, 9)}. {passage}{numbered(1000 * i + 500, 9)}.") for i in (1, 2)]
     got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[1] == docs[0][1] and got[2] == docs[1][1].replace(passage, "")
+
+
+def test_passages_without_sentence_ends_are_found_at_any_offset(spark):
+    passage = numbered(0, 160)
+    docs = [(1, f"{numbered(1000, 11)} {passage} {numbered(2000, 30)}"), (2, f"{numbered(3000, 28)} {passage} {numbered(4000, 17)}")]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == docs[0][1]
+    left = got[2].split()
+    assert sum(w in passage.split() for w in left) <= 40 and {*numbered(3000, 28).split(), *numbered(4000, 17).split()} <= set(left)
+
+
+def test_sentences_of_other_scripts():
+    one, two = "漢字仮名" * 4 + "。", "東京都" * 5 + "！"
+    assert substring_dedup.sentences(one + two) == [one, two]
+    assert substring_dedup.sentences("यह एक वाक्य है। यह दूसरा है।") == ["यह एक वाक्य है। ", "यह दूसरा है।"]
+    assert len(substring_dedup.sentences("漢字仮名" * 60)) >= 6 and "".join(substring_dedup.sentences("漢字仮名" * 60)) == "漢字仮名" * 60

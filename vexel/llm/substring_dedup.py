@@ -1,7 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences: after `.`, `!` or `?` and white space, after line ends, and after 40 words without either.
-Concatenated, they give the text again. A span is a run of `least` sentences with at least `min_words` words, or
+A text is cut into sentences: after `.`, `!` or `?` and white space, after other scripts' marks, and after line ends. A sentence
+of more than 20 words is cut again, after words whose hash with the two before says so (one in eight), which doesn't depend on
+where it began, and after 40 words without a cut. Concatenated, they give the text again. A span is a run of `least` sentences with at least `min_words` words, or
 the shortest run of two or more sentences with RUN_WORDS words from a sentence on, or back from a sentence's end, so that
 both ends of a repeated passage are covered up to the sentences that it cuts. Its 128-bit hash covers the lower-cased words. Spans with equal hashes are
 joined over the whole corpus. The first (smallest doc_id, then position) keeps its place; sentences covered by any other
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,28 @@ from pyspark.sql import types as T
 
 SENTENCES, MIN_WORDS, LONGEST = 3, 12, 40
 RUN_WORDS = 20
-_END = re.compile(r"[.!?]+\s+|\n\s*")
-_WORD = re.compile(r"\w+")
+WHOLE, CUT_ONE_IN = 20, 8
+#: Scripts without spaces between words, each of whose letters counts as a word.
+_SOLID = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+_END = re.compile(r"[.!?\u2026]+\s+|[\u3002\uff01\uff1f\uff0e\uff61]+\s*|[\u061f\u06d4\u0964\u0965\u0589\u1362\u104b\u17d4]+\s*|\n\s*")
+_WORD = re.compile(rf"[{_SOLID}]|[^\W{_SOLID}]+")
+_UNIT = re.compile(rf"\s*(?:[{_SOLID}]|[^\s{_SOLID}]+)\s*")
+
+
+def _cut_long(s: str) -> list[str]:
+    """A stretch of many words, cut where the last three words' hash says so, wherever the stretch began; else after LONGEST words."""
+    units = _UNIT.findall(s)
+    if len(units) <= WHOLE:
+        return [s]
+    plain = [u.strip().lower() for u in units]
+    out, first = [], 0
+    for i in range(len(units)):
+        if i + 1 - first >= LONGEST or (i >= 2 and zlib.crc32(" ".join(plain[i - 2 : i + 1]).encode("utf-8", "surrogatepass")) % CUT_ONE_IN == 0):
+            out.append("".join(units[first : i + 1]))
+            first = i + 1
+    if first < len(units):
+        out.append("".join(units[first:]))
+    return out
 
 
 def sentences(text: str) -> list[str]:
@@ -40,11 +62,7 @@ def sentences(text: str) -> list[str]:
         cuts.append(text[at:])
     out = []
     for s in cuts:
-        if len(s) <= 2 * LONGEST or s.count(" ") < LONGEST:
-            out.append(s)
-            continue
-        words = re.findall(r"\s*\S+\s*", s) or [s]
-        out += ["".join(words[i : i + LONGEST]) for i in range(0, len(words), LONGEST)]
+        out += [s] if len(s) <= WHOLE else _cut_long(s)
     return out
 
 
