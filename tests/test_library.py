@@ -203,3 +203,11 @@ def test_hot_share(spark):
     rows = [(str(k), n) for k, n in enumerate([10, 8, 5, 2, 1, 1, 1, 1, 1, 1]) for _ in range(n)]
     got = {r["key"]: r["heat"] for r in access.hot_and_cold(spark.createDataFrame(rows, "key string, ts int")).collect()}
     assert got["0"] == got["1"] == "hot" and got["2"] == "warm" and got["4"] == "cold"
+
+
+def test_semantic_search_finds_long_texts(spark, tmp_path):
+    from vexel.queries.texts import l10_semantic_search
+
+    rows = [(0, "alpha beta gamma"), (1, "delta epsilon"), (500, "alpha beta gamma " * 400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert 500 in {r["id"] for r in l10_semantic_search(spark, str(tmp_path)).where("query_id = 0").collect()}
