@@ -1,24 +1,25 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences: after `.`, `!` or `?` and white space, after other scripts' marks, and after line ends. A sentence
-of more than 20 words is cut again, after words whose hash with the two before says so (one in eight), which doesn't depend on
-where it began, and after 40 words without a cut. Concatenated, they give the text again. A span is a run of `least` sentences with at least `min_words` words, or
-the shortest run of two or more sentences with RUN_WORDS words from a sentence on, or back from a sentence's end, so that
-both ends of a repeated passage are covered up to the sentences that it cuts. Its 128-bit hash covers the lower-cased words. Spans with equal hashes are
-joined over the whole corpus. The first (smallest doc_id, then position) keeps its place; sentences covered by any other
-are removed.
-
-Null texts stay null and take no part; empty texts stay empty. Rows that share doc_id are one document with several
-texts: what is first in one row is not a repeat in another at the same position; rows without doc_id lose nothing.
-Extra columns stay as they are, but for those named n_sentences and n_removed.
+Sentences: the words of a text are cut where a sentence or line ends, so that no piece is longer than `window` words and few
+are shorter than half of it. Among any `window` words in a row, the first word of a sentence is a cut, or where there is none, any
+word; of several, the one whose hash, over the words next to it, is smallest. So short sentences are taken together,
+long ones are parted, and equal passages are cut alike wherever they stand, but for up to `window` words at both ends.
+
+Spans: every run of `run` such sentences, known by a 64-bit hash of its lower-cased words. Spans with equal hashes are joined
+over the whole corpus. The document with the smallest doc_id keeps a span; in all others, and in the same one at later places, it
+is repeated. Sentences covered by repeated spans are removed where at least `least_words` words in a row are covered: so a
+passage of `least_words` + 2 * `window` words or more is always removed, up to its ends, and a short formula never is.
+
+Null texts stay null and take no part; texts without words have no sentences. Rows with equal doc_id and text are treated alike, and
+rows with equal doc_id and different texts don't repeat each other. Rows without doc_id lose nothing but what they repeat themselves.
+Texts of any length are read whole. Extra columns stay as they are, but for those named n_sentences and n_removed. The empty table
+gives the empty table.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,110 +27,210 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SENTENCES, MIN_WORDS, LONGEST = 3, 12, 40
-RUN_WORDS = 20
-WHOLE, CUT_ONE_IN = 20, 8
+from vexel.llm.session import small, written
+from vexel.llm.words import U64, mix, power_tables
+
+RUN, WINDOW, LEAST_WORDS = 3, 8, 38
+CHUNK_CHARS = 1 << 20
+SPACE, WORD, SOLID, STOP, END = 1, 2, 3, 4, 5
 #: Scripts without spaces between words, each of whose letters counts as a word.
-_SOLID = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
-_END = re.compile(r"[.!?\u2026]+\s+|[\u3002\uff01\uff1f\uff0e\uff61]+\s*|[\u061f\u06d4\u0964\u0965\u0589\u1362\u104b\u17d4]+\s*|\n\s*")
-_WORD = re.compile(rf"[{_SOLID}]|[^\W{_SOLID}]+")
-_UNIT = re.compile(rf"\s*(?:[{_SOLID}]|[^\s{_SOLID}]+)\s*")
-
-
-def _cut_long(s: str) -> list[str]:
-    """A stretch of many words, cut where the last three words' hash says so, wherever the stretch began; else after LONGEST words."""
-    units = _UNIT.findall(s)
-    if len(units) <= WHOLE:
-        return [s]
-    plain = [u.strip().lower() for u in units]
-    out, first = [], 0
-    for i in range(len(units)):
-        if i + 1 - first >= LONGEST or (i >= 2 and zlib.crc32(" ".join(plain[i - 2 : i + 1]).encode("utf-8", "surrogatepass")) % CUT_ONE_IN == 0):
-            out.append("".join(units[first : i + 1]))
-            first = i + 1
-    if first < len(units):
-        out.append("".join(units[first:]))
-    return out
-
-
-def sentences(text: str) -> list[str]:
-    """The sentences, with what separates them."""
-    cuts, at = [], 0
-    for m in _END.finditer(text):
-        cuts.append(text[at : m.end()])
-        at = m.end()
-    if at < len(text):
-        cuts.append(text[at:])
-    out = []
-    for s in cuts:
-        out += [s] if len(s) <= WHOLE else _cut_long(s)
-    return out
-
-
-def spans(parts: list[str], least: int = SENTENCES, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """First sentence, number of sentences and hash of each span."""
-    words = [_WORD.findall(p.lower()) for p in parts]
-    counts = np.cumsum([0, *map(len, words)])
-    joined = [" ".join(w).encode() for w in words]
-    n = len(parts)
-    at = np.arange(n + 1)
-    found = {(i, i + least) for i in range(n - least + 1) if counts[i + least] - counts[i] >= min_words}
-    ends = np.maximum(np.searchsorted(counts, counts + RUN_WORDS), at + 2)
-    found.update((i, j) for i, j in zip(at.tolist(), ends.tolist(), strict=True) if j <= n)
-    starts = np.minimum(np.searchsorted(counts, counts - RUN_WORDS, "right") - 1, at - 2)
-    found.update((i, j) for i, j in zip(starts.tolist(), at.tolist(), strict=True) if i >= 0)
-    for i, j in sorted(found):
-        yield i, j - i, hashlib.blake2b(b"\n".join(joined[i:j]), digest_size=16).digest()
-
-
-def _span_rows(docs: DataFrame, least: int, min_words: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SOLID = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+#: A sentence ends after one of the first with white space behind, and after any of the second.
+_STOPS, _ENDS = ".!?…", "\n。！？．｡؟۔।॥։።။។"
+
+
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point, its class (0: any other) and its lower case."""
+    kind, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for i in range(0x20000):
+        c = chr(i)
+        if c.isalnum():
+            kind[i] = WORD
+            low = c.lower()
+            lower[i] = ord(low) if len(low) == 1 else i
+        elif c.isspace():
+            kind[i] = SPACE
+    for a, b in _SOLID:
+        kind[a : b + 1] = np.where((kind[a : b + 1] == WORD) | (a >= 0x20000), SOLID, kind[a : b + 1])
+    kind[[ord(c) for c in _STOPS]] = STOP
+    kind[[ord(c) for c in _ENDS]] = END
+    return kind, lower
+
+
+def _least(v: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
+    """The least (or what pick picks) of each `width` values in a row."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        v = pick(v[:-step], v[step:])
+        done += step
+    return v
+
+
+class Sentences:
+    """The sentences of some texts: for each its first word and first character, by text; and the words' hashes."""
+
+    def __init__(self, texts: list[str], window: int = WINDOW):
+        kind_of, lower_of = _letters()
+        joined = "\n".join(texts) + "\n"
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        kind = kind_of[codes]
+        after = np.append(kind[1:], np.uint8(END))
+        before = np.insert(kind[:-1], 0, np.uint8(END))
+        self.starts = np.flatnonzero((kind == SOLID) | (kind == WORD) & (before != WORD))
+        ends = np.flatnonzero((kind == SOLID) | (kind == WORD) & (after != WORD)) + 1
+        n = len(self.starts)
+        #: Where each text's words begin, one more than texts.
+        self.words = np.searchsorted(self.starts, begins)
+        powers, inverse = power_tables(max(len(codes), n) + 1)
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(lower_of[codes].astype(U64) + U64(1)) * powers[: len(codes)])])
+        hashes = mix((total[ends] - total[self.starts]) * inverse[self.starts])
+        self.total = np.concatenate([np.zeros(1, U64), np.cumsum(hashes * powers[:n])])
+        self.inverse = inverse
+        breaks = np.cumsum((kind == END) | (kind == STOP) & ((after == SPACE) | (after == END)))
+        first = np.ones(n, bool)
+        if n:
+            first[1:] = breaks[self.starts[1:]] > breaks[ends[:-1] - 1]
+        new = self.words[:-1][np.diff(self.words) > 0]
+        last, following = np.concatenate([hashes[:1], hashes[:-1]]), np.concatenate([hashes[1:], hashes[-1:]])
+        ahead = mix(hashes * U64(3) + mix(following))
+        rank = np.where(first, ahead >> U64(1), mix(mix(last) + ahead) >> U64(1) | U64(1 << 63))
+        rank[new] = 0
+        cut = first.copy()
+        if n >= window:
+            around = np.zeros(window - 1, U64)
+            cut = _least(np.concatenate([around, _least(rank, window), around]), window, np.maximum) == rank
+        cut[new] = True
+        #: First word of each sentence, and where each text's sentences begin.
+        self.cuts = np.flatnonzero(cut)
+        self.offsets = np.searchsorted(self.cuts, self.words)
+
+    def text_of(self) -> np.ndarray:
+        """The number of each sentence's text."""
+        return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
+
+    def sizes(self) -> np.ndarray:
+        """Words of each sentence."""
+        return np.diff(np.append(self.cuts, len(self.starts)))
+
+    def spans(self, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first sentence within it, and hash of each span; and whether the text has an equal one before it."""
+        text = self.text_of()
+        at = np.arange(len(text))
+        at = at[at + run <= self.offsets[text + 1]]
+        text = text[at]
+        ends = np.append(self.cuts, len(self.starts))[at + run]
+        starts = self.cuts[at]
+        h = mix(mix((self.total[ends] - self.total[starts]) * self.inverse[starts]) + (ends - starts).astype(U64))
+        order = np.lexsort((at, h, text))
+        again = np.zeros(len(at), bool)
+        again[order[1:]] = (text[order[1:]] == text[order[:-1]]) & (h[order[1:]] == h[order[:-1]])
+        return text, at - self.offsets[text], h, again
+
+
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts (null: empty) of about CHUNK_CHARS: number of the first, texts."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= CHUNK_CHARS or i + 1 == len(texts):
+            yield first, [x or "" for x in texts[first : i + 1]]
+            first, size = i + 1, 0
+
+
+def _version():
+    """Tells apart rows that share a doc_id: 31 bits of the text's hash."""
+    return F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF))
+
+
+def span_rows(docs: DataFrame, run: int = RUN, window: int = WINDOW) -> DataFrame:
+    """h, doc, place (version << 32 | first sentence): the different spans of each row that has a text and a doc_id."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at, size, digests = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, n, digest in spans(sentences(text or ""), least, min_words):
-                    ids.append(doc)
-                    at.append(i)
-                    size.append(n)
-                    digests.append(digest)
-            pairs = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["doc", "at", "n", "h1", "h2"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").mapInArrow(run, "doc long, at int, n int, h1 long, h2 long")
-
-
-def repeated(docs: DataFrame, least: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, cover: for each document with repeats, (first sentence, sentences) of its non-first repeated spans."""
-    found = _span_rows(docs, least, min_words)
-    # Counted with partial sums before the shuffle, so that a span in a third of all documents weighs no more than others.
-    first = found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc", "at")).alias("first")).where("times > 1")
-    later = found.join(first, ["h1", "h2"]).where((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
-    return later.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("at", "n")).alias("cover"))
-
-
-def dedup(docs: DataFrame, least: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+            ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for first, texts in _chunks(batch.column(2).to_pylist()):
+                text, at, h, again = Sentences(texts, window).spans(run)
+                text, at, h = first + text[~again], at[~again], h[~again]
+                for i in range(0, len(h), 100_000):
+                    j = slice(i, i + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[j].view(np.int64)), pa.array(ids[text[j]]), pa.array(versions[text[j]] << 32 | at[j])], names=["h", "doc", "place"])
+
+    rows = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), _version().alias("version"), "text")
+    return rows.mapInArrow(work, "h long, doc long, place long")
+
+
+def repeated(docs: DataFrame, run: int = RUN, window: int = WINDOW) -> DataFrame:
+    """doc, version, cover: for each row with spans that a document with a smaller id has, their first sentences as [first, end), flattened."""
+    # Minima are taken in each task first, so that a span in a third of all documents weighs no more than others; the join's
+    # two sides are plain shuffles, which adaptive execution splits where one span has many rows.
+    first = written(span_rows(docs, run, window).groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first"), "spans")
+    later = span_rows(docs, run, window).join(small(first, 500_000), "h").where("doc > first")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for places in batch.column(2):
+                at = np.unique(places.values.to_numpy())
+                new = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+                out.append(np.stack([at[new], at[np.append(new[1:], len(at)) - 1] + 1], axis=1).ravel() if len(at) else at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc", "version", "cover"])
+
+    of_doc = later.select("doc", F.shiftright("place", 32).alias("version"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at")).groupBy("doc", "version").agg(F.collect_list("at").alias("at"))
+    return of_doc.mapInArrow(merge, "doc long, version long, cover array<int>")
+
+
+def _removed(sentences: Sentences, covers: list, run: int, least_words: int) -> np.ndarray:
+    """For each sentence, whether it goes. covers: by text, [first, end) of repeated spans' first sentences, flattened."""
+    n = len(sentences.cuts)
+    text, at, _, again = sentences.spans(run)
+    drop = np.zeros(n + 1, np.int64)
+    own = sentences.offsets[text[again]] + at[again]
+    np.add.at(drop, own, 1)
+    np.add.at(drop, own + run, -1)
+    for i, cover in enumerate(covers):
+        if cover is not None:
+            begin, end = sentences.offsets[i], sentences.offsets[i + 1]
+            a, b = np.asarray(cover).reshape(-1, 2).T
+            np.add.at(drop, np.minimum(begin + a, end), 1)
+            np.add.at(drop, np.minimum(begin + b + run - 1, end), -1)
+    out = np.cumsum(drop)[:-1] > 0
+    text = sentences.text_of()
+    new = np.ones(n, bool)
+    new[1:] = (out[1:] != out[:-1]) | (text[1:] != text[:-1])
+    stretch = np.cumsum(new) - 1
+    return out & (np.bincount(stretch, weights=sentences.sizes(), minlength=1)[stretch] >= least_words) if n else out
+
+
+def dedup(docs: DataFrame, run: int = RUN, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents with their remaining text, and columns n_sentences, n_removed (both int)."""
-    names = docs.columns
-    cover = repeated(docs, least, min_words).select(F.col("doc_id").alias("__doc"), F.col("cover").alias("__cover"))
-    joined = docs.join(cover, F.col("doc_id").cast("long") == F.col("__doc"), "left")
+    cover = written(repeated(docs, run, window), "covers").toDF("__doc", "__of", "__cover")
+    kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
+    marked = docs.select(*kept, F.col("doc_id").cast("long").alias("__id"), _version().alias("__version"))
+    joined = marked.join(small(cover, 1_000_000), (F.col("__id") == F.col("__doc")) & (F.col("__version") == F.col("__of")), "left").select(*kept, "__cover")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            old, covers = batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             texts, total, removed = [], [], []
-            for text, cover in zip(batch.column("text").to_pylist(), batch.column("__cover").to_pylist(), strict=True):
-                parts = sentences(text or "")
-                drop = np.zeros(len(parts) + 1, np.int64)
-                for c in cover or []:
-                    drop[min(c["at"], len(parts))] += 1
-                    drop[min(c["at"] + c["n"], len(parts))] -= 1
-                out = np.cumsum(drop)[:-1] > 0
-                texts.append(text if not out.any() else "".join(p for p, x in zip(parts, out.tolist(), strict=True) if not x))
-                total.append(len(parts))
-                removed.append(int(out.sum()))
-            columns = {n: batch.column(n) for n in batch.schema.names if n != "__cover"} | {"text": pa.array(texts, pa.string()), "__n": pa.array(total, pa.int32()), "__r": pa.array(removed, pa.int32())}
+            for first, part in _chunks(old):
+                found = Sentences(part, window)
+                out = _removed(found, covers[first : first + len(part)], run, least_words)
+                begins = np.cumsum([0, *(len(t) + 1 for t in part)])
+                count = np.bincount(found.text_of(), weights=out, minlength=len(part)).astype(np.int64)
+                total += np.diff(found.offsets).tolist()
+                removed += count.tolist()
+                for i, text in enumerate(part):
+                    if not count[i]:
+                        texts.append(old[first + i])
+                        continue
+                    a, b = found.offsets[i], found.offsets[i + 1]
+                    at = [0, *(found.starts[found.cuts[a + 1 : b]] - begins[i]).tolist(), len(text)]
+                    texts.append("".join(text[at[k] : at[k + 1]] for k in np.flatnonzero(~out[a:b]).tolist()))
+            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names[:-1])} | {"text": pa.array(texts, pa.string()), "__n": pa.array(total, pa.int32()), "__r": pa.array(removed, pa.int32())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    kept = [c for c in names if c not in ("n_sentences", "n_removed")]
-    before = joined.select(*kept, "__cover")
-    schema = T.StructType([*before.drop("__cover").schema.fields, T.StructField("__n", T.IntegerType()), T.StructField("__r", T.IntegerType())])
-    return before.mapInArrow(run, schema).withColumnsRenamed({"__n": "n_sentences", "__r": "n_removed"})
+    schema = T.StructType([*joined.schema.fields[:-1], T.StructField("__n", T.IntegerType()), T.StructField("__r", T.IntegerType())])
+    return joined.mapInArrow(work, schema).withColumnsRenamed({"__n": "n_sentences", "__r": "n_removed"})

@@ -33,7 +33,7 @@ _BASE = 0x5851F42D4C957F2D
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of each."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, CHUNK_BYTES + 4096)
@@ -66,7 +66,7 @@ def run_hashes(texts: list[bytes], table: np.ndarray, prefixes: tuple[int | None
     low = table[buf]
     change = np.diff(low != 32, prepend=False).nonzero()[0]
     starts, ends = change[0::2], change[1::2]
-    powers, inverse = _power_tables(len(buf))
+    powers, inverse = power_tables(len(buf))
     total = np.cumsum(_VALUE[low] * powers[: len(buf)])
     before = np.where(starts > 0, total[starts - 1], U64(0))
     offsets = np.zeros(len(texts) + 1, np.int64)
