@@ -93,15 +93,19 @@ class Sentences:
         first = np.ones(n, bool)
         if n:
             first[1:] = breaks[self.starts[1:]] > breaks[ends[:-1] - 1]
-        new = self.words[:-1][np.diff(self.words) > 0]
-        last, following = np.concatenate([hashes[:1], hashes[:-1]]), np.concatenate([hashes[1:], hashes[-1:]])
+        counts = np.diff(self.words)
+        new = self.words[:-1][counts > 0]
+        following = np.concatenate([hashes[1:], hashes[-1:]])
+        following[self.words[1:][counts > 0] - 1] = 0
         ahead = mix(hashes * U64(3) + mix(following))
-        rank = np.where(first, ahead >> U64(1), mix(mix(last) + ahead) >> U64(1) | U64(1 << 63))
+        rank = np.where(first, ahead >> U64(1), mix(mix(np.concatenate([hashes[:1], hashes[:-1]])) + ahead) >> U64(1) | U64(1 << 63))
         rank[new] = 0
-        cut = first.copy()
-        if n >= window:
-            around = np.zeros(window - 1, U64)
-            cut = _least(np.concatenate([around, _least(rank, window), around]), window, np.maximum) == rank
+        # A place of rank 0 stands behind each text, so that what follows it in the batch doesn't matter.
+        place = np.arange(n) + np.repeat(np.arange(len(texts)), counts)
+        padded = np.zeros(n + len(texts) + 2 * window, U64)
+        padded[place] = rank
+        around = np.zeros(window - 1, U64)
+        cut = (_least(np.concatenate([around, _least(padded, window), around]), window, np.maximum) == padded)[place]
         cut[new] = True
         #: First word of each sentence, and where each text's sentences begin.
         self.cuts = np.flatnonzero(cut)
