@@ -171,7 +171,7 @@ def repeated(docs: DataFrame, run: int = RUN, window: int = WINDOW) -> DataFrame
     # Minima are taken in each task first, so that a span in a third of all documents weighs no more than others; the join's
     # two sides are plain shuffles, which adaptive execution splits where one span has many rows.
     first = written(span_rows(docs, run, window).groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first"), "spans")
-    later = span_rows(docs, run, window).join(small(first, 500_000), "h").where("doc > first")
+    later = span_rows(docs, run, window).join(first, "h").where("doc > first")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
