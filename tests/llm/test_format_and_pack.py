@@ -52,16 +52,15 @@ def test_a_long_conversation_is_streamed(spark):
 
 def ids_of(text):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
 def test_ids_equal_those_of_tokenizers(spark):
     enc = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = [ENGLISH, "", " ", "a  b\n\n c\t", "漢字 \U0001f600 é", "<|endoftext|> x", "don't 123,456 ***$$$", *(r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect())]
+    texts = [ENGLISH, "", " ", "a  b\n\n c\t", "漢字 \U0001f600 é", "<|endoftext|> x", "hello <|endoftext|> x", "a<|endoftext|><|endoftext|>\n b <|endoftext|", "don't 123,456 ***$$$", *(r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect())]
     for t in texts:
-        assert enc.encode_ordinary(t) == ids_of(t)
-        assert packing.encode_long(enc, t, 50) == ids_of(t)
+        assert packing.encode(enc, t) == ids_of(t)
+        assert packing.encode(enc, t, 50) == ids_of(t)
 
 
 def check_packing(docs, pieces, length):
@@ -97,6 +96,8 @@ def test_pieces_and_places(spark, hard):
 
 def test_nothing_and_repeats(spark, empty, hard):
     assert packing.pack(packing.tokenize(empty)).count() == 0
+    pieces = packing.tokenize(hard.where("doc_id in (1, 6)")).selectExpr("*", "'x' as item", "1 as sequence_id", "2 as place", "3 as node")
+    assert set(packing.pack(pieces).columns) == {*pieces.columns, "offset"}
     twice = packing.pack(packing.tokenize(hard.where("doc_id = 7"))).collect()
     assert len(twice) == 2 and len({(r["sequence_id"], r["offset"]) for r in twice}) == 2
 
