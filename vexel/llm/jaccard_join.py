@@ -166,7 +166,11 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, reps: DataFrame, words: int, bits: bool) -> DataFrame:
-    """node, n and data (the set's hashes, or its sketch) of the wanted nodes, from one document of each (reps: node, doc_id)."""
+    """node, n and data (the set's hashes, or its sketch) of the wanted nodes, from one document of each (reps: node, doc_id).
+
+    A written table: both ends of the pairs are joined from it by plain shuffles, which adaptive execution splits where one
+    leader has many members.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -185,7 +189,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, reps: DataFrame, words: int, bi
 
     ids = reps.join(small(wanted, 1_000_000), "node", "left_semi").select("doc_id").distinct()
     texts = docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).join(small(ids, 1_000_000), "doc_id", "left_semi").select("text")
-    return texts.mapInArrow(emit, "node long, n long, data binary").repartition("node")
+    return written(texts.mapInArrow(emit, "node long, n long, data binary"), "sets")
 
 
 def _ends(pairs: DataFrame, name: str) -> DataFrame:
@@ -219,7 +223,7 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, words: int = WO
 
     def met(asked: DataFrame, known: DataFrame) -> DataFrame:
         left, right = (known.select(F.col("node").alias(c), F.col("data").alias(f"{c}_data"), F.col("n").alias(f"{c}_n")) for c in ("a", "b"))
-        return left.join(small(asked, 1_000_000), "a").join(right, "b").select("a", "b", "a_data", "b_data", (F.col("a_n") + F.col("b_n")).alias("n"))
+        return left.join(asked, "a").join(right, "b").select("a", "b", "a_data", "b_data", (F.col("a_n") + F.col("b_n")).alias("n"))
 
     asked = written(pairs, "pairs")
     likely = written(met(asked, _sets_of(docs, _ends(asked, "ends"), reps, words, True)).mapInArrow(close, "a long, b long").distinct(), "likely")

@@ -155,7 +155,7 @@ def fit(windows: list[bytes], labels: np.ndarray, languages: list[str], hidden:
 
 def train(docs: DataFrame, docs_per_language: int = 300, windows: int = 6) -> Net | None:
     """A net from columns doc_id, text, lang; None if no row has both a text with a letter and a language."""
-    usable = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("lang", "text", F.xxhash64("doc_id").alias("rank"))
+    usable = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("lang", "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")).alias("rank"))
     # Of a language with many documents only the lowest hashes, a few times as many as are wanted, are ranked at all.
     share = {r["lang"]: min(1.0, 4 * docs_per_language / r["count"]) for r in usable.groupBy("lang").count().collect()}
     if not share:
