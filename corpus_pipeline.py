@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of documents; the last one
 returns packed pieces. run() writes each stage's rows to the shared folder and reads them for the next.
 
-Empty tables give empty tables. Null texts go in the first stage.
+Empty tables give empty tables. Null texts go in the first stage. Of equal rows one stays, as of near duplicates; texts of any
+length are read whole; columns beside those of documents stay, whatever their names. Ties go to the smaller doc_id.
 """
 
 from __future__ import annotations
@@ -14,15 +15,25 @@ from pyspark.sql import functions as F
 from vexel.llm import decontam, jaccard_join, lang_gru, packing, substring_dedup
 from vexel.llm.session import small, written
 
-#: A text whose language has a lower score than this is rejected, as are texts without a letter.
-LEAST_SCORE = 0.3
+#: The languages to keep; None: all that column lang has.
+LANGUAGES: tuple[str, ...] | None = None
+#: From SURE_LETTERS letters on, a text's language must score above chance by this share of the way from chance to certainty.
+LEAST_ABOVE_CHANCE, SURE_LETTERS = 0.2, 40
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose text is in one of the languages of column lang, by a net trained on these documents."""
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple[str, ...] | None = LANGUAGES) -> DataFrame:
+    """Keeps the documents in one of the languages, by a net trained on these documents and their column lang.
+
+    Rejected are texts without a letter, texts in a language that isn't to be kept, and longer texts in which the net sees none.
+    """
     net = lang_gru.train(docs)
     found = lang_gru.identify(docs.select("text", F.struct(*docs.columns).alias("__row")), net, ("__row",))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("__row.*")
+    chance = 1 / len(net.languages) if net else 1.0
+    short = F.length(F.regexp_replace("__row.text", r"[^\p{L}]+", "")) < SURE_LETTERS
+    good = (F.col("lang_pred") != "und") & (short | (F.col("score") >= chance + LEAST_ABOVE_CHANCE * (1 - chance)))
+    if languages is not None:
+        good = good & F.col("lang_pred").isin(*languages)
+    return found.where(good).select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +66,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("benchmark_leaks", benchmark_leaks), ("packed", packed)]
 
-#: No SQL can run the net, the edit distances or the packing; tests hold every stage against a brute-force version.
+#: No SQL can run the net, the edit distances or the packing; tests hold each stage to plain Python on small tables.
 ORACLE_SQL: str | None = None
 
 

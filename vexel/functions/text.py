@@ -6,8 +6,10 @@ column expressions.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,17 +149,40 @@ def chunk_estimate(text: Column | str, strategy: str = "fixed", longest: int = 1
 
 
 def hashed_embedding(text: Column | str, dimension: int = 64) -> Column:
-    """A text's embedding: each word adds its share of the words to a bucket by hash; then scaled to length 1. Deterministic."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    buckets = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm == 0, counts).otherwise(F.transform(counts, lambda x: x / norm))
+    """A text's embedding: each word (letters and digits) adds one to the bucket of its MD5; then scaled to length 1.
 
+    One Arrow batch at a time; a word's bucket is worked out once a batch. Texts without words have the zero vector, null texts null.
+    """
 
-def word_jaccard(a: Column | str, b: Column | str) -> Column:
-    """Shared words over all words of two texts; 1 for two empty ones."""
-    words = lambda t: F.array_distinct(F.filter(F.split(F.lower(F.trim(t)), r"\s+"), lambda w: w != ""))
-    x, y = (words(F.col(c) if isinstance(c, str) else c) for c in (a, b))
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        buckets: dict[str, int] = {}
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            words = re.findall(r"[^\W_]+", t.lower())
+            for w in set(words).difference(buckets):
+                buckets[w] = int.from_bytes(hashlib.md5(w.encode(), usedforsecurity=False).digest()[:4]) % dimension
+            counts = np.bincount([buckets[w] for w in words], minlength=dimension).astype(float)
+            out.append(counts / (np.sqrt((counts * counts).sum()) or 1.0))
+        return pd.Series(out)
+
+    return run(text)
+
+
+def word_set(text: Column | str) -> Column:
+    """The different words of a text, between white space, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: w != ""))
+
+
+def set_jaccard(x: Column, y: Column) -> Column:
+    """Shared elements over all elements of two arrays without repeats; 1 for two empty ones."""
     both = F.size(F.array_union(x, y))
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / both)
+
+
+def word_jaccard(a: Column | str, b: Column | str) -> Column:
+    """Shared words over all words of two texts; 1 for two empty ones."""
+    return set_jaccard(word_set(a), word_set(b))

@@ -83,11 +83,11 @@ def fit_chunks(chunks: DataFrame, budget: int, least: int = 100) -> DataFrame:
 
 def drop_near_duplicates(chunks: DataFrame, most: float = 0.9) -> DataFrame:
     """Of each query, in order of score, chunks whose word similarity to every chunk kept before is at most `most`."""
-    arrays = _ranked(chunks, [F.desc("score")], ["id", "content"])
+    arrays = _ranked(chunks.withColumn("words", X.word_set("content")), [F.desc("score")], ["id", "words"])
     item = arrays.schema["items"].dataType.elementType.simpleString()
 
     def keep(kept: Column, x: Column) -> Column:
-        near = F.exists(kept, lambda k: X.word_jaccard(k["content"], x["content"]) > most)
+        near = F.exists(kept, lambda k: X.set_jaccard(k["words"], x["words"]) > most)
         return F.when(near, kept).otherwise(F.concat(kept, F.array(x)))
 
     done = arrays.select("query_id", F.aggregate("items", F.array().cast(f"array<{item}>"), keep).alias("kept"))

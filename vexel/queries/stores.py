@@ -17,13 +17,16 @@ ORACLES: dict = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the session's shared one."""
+    """A new folder in the session's shared one; only where all runs in one process, that may be a temporary one."""
     import atexit
+    import re
     import shutil
     import tempfile
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="vexel-")
         atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)

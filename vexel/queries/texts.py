@@ -51,12 +51,12 @@ def l17_context_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A made result of search: documents as chunks, ten to a query (id / 10), scored by id."""
-    d = docs(spark, sf_dir).where("doc_id < 400")
+    d = docs(spark, sf_dir)
     score = F.pmod(F.col("doc_id") * 7919, F.lit(1000)) / 1000.0
-    return d.select(F.floor(F.col("doc_id") / 10).cast("long").alias("query_id"), F.col("doc_id").alias("id"), score.alias("score"), X.tokens_by_length("text").alias("tokens"), F.floor(F.col("doc_id") / 2).cast("long").alias("doc_id"), F.pmod(F.col("doc_id") * 31, F.lit(97)).alias("ts"), F.substring("text", 1, 300).alias("content"))
+    return d.select(F.floor(F.col("doc_id") / 10).cast("long").alias("query_id"), F.col("doc_id").alias("id"), score.alias("score"), X.tokens_by_length("text").alias("tokens"), F.floor(F.col("doc_id") / 2).cast("long").alias("doc_id"), F.pmod(F.col("doc_id") * 31, F.lit(97)).alias("ts"), F.col("text").alias("content"))
 
 
-RANKED = "with c as (select cast(floor(doc_id / 10) as bigint) as query_id, doc_id as id, (doc_id * 7919 % 1000) / 1000.0 as score, cast(floor((length(text) + 3) / 4) as bigint) as tokens, cast(floor(doc_id / 2) as bigint) as doc_id, doc_id * 31 % 97 as ts, left(text, 300) as content from documents where doc_id < 400)"
+RANKED = "with c as (select cast(floor(doc_id / 10) as bigint) as query_id, doc_id as id, (doc_id * 7919 % 1000) / 1000.0 as score, cast(floor((length(text) + 3) / 4) as bigint) as tokens, cast(floor(doc_id / 2) as bigint) as doc_id, doc_id * 31 % 97 as ts, text as content from documents)"
 
 
 def t6_greedy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def l14_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def l15_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     contexts = rag.context(ranked(spark, sf_dir).where("score >= 0.9").withColumn("content", F.lit("x")))
-    queries = spark.range(40).select(F.col("id").alias("query_id"), F.concat(F.lit("question "), F.col("id").cast("string")).alias("query"))
+    queries = ranked(spark, sf_dir).select("query_id").distinct().withColumn("query", F.concat(F.lit("question "), F.col("query_id").cast("string")))
     return rag.prompts(queries, contexts).select("query_id", F.md5("prompt").alias("digest"))
 
 
@@ -169,6 +169,19 @@ ORACLES["f21_relevance_threshold"] = f"{RANKED} select query_id, id from c where
 ORACLES["j9_hydrated"] = f"{RANKED} select c.query_id, c.id, c.score, d.source, d.n_chars from c join documents d on d.doc_id = c.id where score >= 0.9"
 BLOCKS = "string_agg('[Source: ' || doc_id || ' | Relevance: ' || cast(cast(round(cast(score as decimal(10, 3)), 2) as decimal(10, 2)) as varchar) || ']' || chr(10) || %s, chr(10) || '---' || chr(10) order by score desc, id)"
 ORACLES["l14_context"] = f"{RANKED}, k as (select query_id, {BLOCKS % 'content'} as context from c where score >= 0.8 group by 1) select query_id, length(context) as n, md5(context) as digest from k"
-_HEAD, _MID = "'Answer from the context.' || chr(10) || chr(10) || 'Context:' || chr(10) || ", " || chr(10) || chr(10) || 'Question: question ' || range"
+_HEAD, _MID = "'Answer from the context.' || chr(10) || chr(10) || 'Context:' || chr(10) || ", " || chr(10) || chr(10) || 'Question: question ' || q.query_id"
 _BLOCK = BLOCKS % "'x'"
-ORACLES["l15_prompts"] = f"{RANKED}, k as (select query_id, {_BLOCK} as context from c where score >= 0.9 group by 1) select range as query_id, md5({_HEAD}coalesce(context, 'No relevant context found.'){_MID}) as digest from range(40) left join k on query_id = range"
+ORACLES["l15_prompts"] = f"{RANKED}, k as (select query_id, {_BLOCK} as context from c where score >= 0.9 group by 1) select q.query_id, md5({_HEAD}coalesce(context, 'No relevant context found.'){_MID}) as digest from (select distinct query_id from c) q left join k on k.query_id = q.query_id"
+ORACLES["l10_semantic_search"] = r"""with w as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as word from documents),
+b as (select doc_id, cast('0x' || substr(md5(word), 1, 8) as bigint) % 64 as bucket, count(*) as c from w group by 1, 2),
+v as (select *, sum(c * c) over (partition by doc_id) as whole from b),
+s as (select q.doc_id as query_id, d.doc_id as id, sum(q.c * d.c) / (sqrt(any_value(q.whole)) * sqrt(any_value(d.whole))) as score from v q join v d on q.bucket = d.bucket where q.doc_id < 10 group by 1, 2),
+r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s) select query_id, rank, id, round(score, 6) as score from r where rank <= 5 and score >= 0.1"""
+#: Each document's kept ones, in order of score: as many rounds as a query has documents.
+ORACLES["l18_figures"] = GREEDY.format(ranked=RANKED, order="score desc", ok=f"({FITS.format(budget=2000)})") + """, i as (select g.query_id, count(*) as included, avg(score) as relevance, count(distinct c.doc_id) as sources from g join c on c.id = g.id where took group by 1)
+select r.query_id, r.retrieved, coalesce(included, 0) as included, round(relevance, 6) as relevance, coalesce(sources, 0) as sources from (select query_id, count(*) as retrieved from c group by 1) r left join i on i.query_id = r.query_id"""
+ORACLES["l16_assembly"] = f"""{RANKED}, t as (select conv_id, turn, cast(floor((length(coalesce(text, '')) + 3) / 4) as bigint) as tokens from conversations),
+h as (select *, sum(tokens) over (partition by conv_id order by turn desc) as used from t), p as (select * from h where used <= 1000), spent as (select conv_id, max(used) as spent from p group by 1),
+k as (select c.*, sum(tokens) over (partition by query_id order by score desc, id) as upto from c)
+select conv_id as query_id, 'history' as kind, cast(turn as varchar) as id, tokens from p
+union all select k.query_id, 'chunk', cast(k.id as varchar), k.tokens from k left join spent s on s.conv_id = k.query_id where upto <= 3000 - coalesce(spent, 0)"""
