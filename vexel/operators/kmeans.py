@@ -10,9 +10,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vexel.operators.running import running_total
 
@@ -54,49 +55,58 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, d[np.arange(len(x)), at]
 
 
-def assign(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """The rows' id with cluster and distance."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists, without nulls, as an array."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def assign(rows: DataFrame, centroids: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, cluster and distance of the rows with a vector, and the columns to keep."""
     now = rows.sparkSession.sparkContext.broadcast(centroids)
-    kind = rows.schema["id"].dataType.simpleString()
+    picked = rows.where("vector is not null").select("id", F.col("vector").alias("__vector"), *keep)
+    schema = T.StructType([picked.schema["id"], T.StructField("cluster", T.IntegerType()), T.StructField("distance", T.DoubleType()), *(picked.schema[c] for c in keep)])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                at, d = nearest(np.stack([np.asarray(v, float) for v in f["vector"]]), now.value)
-                yield pd.DataFrame({"id": f["id"], "cluster": at, "distance": np.sqrt(d)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, d = nearest(_matrix(batch.column(1)), now.value) if batch.num_rows else (np.zeros(0, int), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.astype(np.int32)), pa.array(np.sqrt(d)), *(batch.column(i + 2) for i in range(len(keep)))], names=schema.names)
 
-    return rows.where("vector is not null").select("id", "vector").mapInPandas(run, f"id {kind}, cluster int, distance double")
+    return picked.mapInArrow(run, schema)
 
 
 def step(rows: DataFrame, centroids: np.ndarray, weight: str | None = None) -> tuple[np.ndarray, np.ndarray, float, float, np.ndarray]:
-    """Weighted sums and weights of each cluster, the sums of distances and of their squares, and the farthest row."""
+    """Weighted sums and weights of each cluster, the sums of distances and of their squares, and the farthest row.
+
+    One job: each task passes on its own sums, one number a row, and its farthest row.
+    """
     now = rows.sparkSession.sparkContext.broadcast(centroids)
+    k, size = centroids.shape
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, far, row = np.zeros(k * size + k + 2), -1.0, np.zeros(size)
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x, w = np.stack([np.asarray(v, float) for v in f["vector"]]), f["w"].to_numpy()
+            x, w = _matrix(batch.column(0)), batch.column(1).to_numpy()
             at, d = nearest(x, now.value)
-            used = np.unique(at)
-            sums = [(x[at == j] * w[at == j, None]).sum(axis=0) for j in used]
-            far = x[d.argmax()]
-            yield pd.DataFrame({"cluster": used, "sums": sums, "weight": [w[at == j].sum() for j in used], "dist": [np.sqrt(d[at == j]).sum() for j in used], "sq": [d[at == j].sum() for j in used], "far": [d.max()] * len(used), "row": [far] * len(used)})
+            np.add.at(total[: k * size].reshape(k, size), at, x * w[:, None])
+            total[k * size : -2] += np.bincount(at, weights=w, minlength=k)
+            total[-2:] += np.sqrt(d).sum(), d.sum()
+            if d.max() > far:
+                far, row = float(d.max()), x[d.argmax()]
+        if far >= 0:
+            cells = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, -1), pa.int32()), pa.array(np.append(total[cells], far)), pa.array([None] * len(cells) + [row], pa.list_(pa.float64()))], names=["i", "x", "row"])
 
     part = rows.where("vector is not null").select("vector", (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
-    part = part.mapInPandas(run, "cluster int, sums array<double>, weight double, dist double, sq double, far double, row array<double>").persist()
-    try:
-        totals = part.groupBy("cluster").agg(F.sum("weight").alias("weight"), F.sum("dist").alias("dist"), F.sum("sq").alias("sq")).collect()
-        long = part.select("cluster", F.posexplode("sums").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("x").alias("x")).collect()
-        far = part.agg(F.max_by("row", "far").alias("row")).first()["row"]
-    finally:
-        part.unpersist()
-    sums, weights = np.zeros_like(centroids), np.zeros(len(centroids))
-    for r in totals:
-        weights[r["cluster"]] = r["weight"]
-    for r in long:
-        sums[r["cluster"], r["i"]] = r["x"]
-    return sums, weights, sum(r["dist"] for r in totals), sum(r["sq"] for r in totals), np.array(far if far is not None else centroids[0])
+    found = part.mapInArrow(run, "i int, x double, row array<double>").groupBy("i").agg(F.sum("x").alias("x"), F.max_by("row", "x").alias("row")).collect()
+    total, far = np.zeros(k * size + k + 2), centroids[0]
+    for r in found:
+        if r["i"] < 0:
+            far = np.array(r["row"])
+        else:
+            total[r["i"]] = r["x"]
+    return total[: k * size].reshape(k, size), total[k * size : -2], float(total[-2]), float(total[-1]), far
 
 
 def fit(rows: DataFrame, k: int, max_iterations: int = 100, tolerance: float = 1e-4, start: np.ndarray | None = None, method: str = "hash", weight: str | None = None, seed: int = 1) -> Result:
@@ -133,6 +143,16 @@ def update(centroids: np.ndarray, batch: np.ndarray, rate: float = 0.05) -> np.n
     return c
 
 
+def update_batches(rows: DataFrame, centroids: np.ndarray, batch_of: Column, batches: int, rate: float = 0.05) -> np.ndarray:
+    """Micro-batches (0 to batches - 1) one after the other: n rows of a cluster pull its centroid to their mean by 1 - (1 - rate)^n."""
+    c = np.array(centroids, float)
+    for b in range(batches):
+        sums, weights, *_ = step(rows.where(batch_of == b), c)
+        mean = sums / np.where(weights > 0, weights, 1)[:, None]
+        c = c + (1 - (1 - rate) ** weights)[:, None] * (mean - c)
+    return c
+
+
 def centroid_table(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     return rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "cluster int, centroid array<double>")
 
@@ -156,25 +176,28 @@ def sample_random(rows: DataFrame, fraction: float, seed: int = 1) -> DataFrame:
     return rows.sample(fraction, seed)
 
 
+def draw_order(seed: int = 1) -> Column:
+    """A number from 0 to 2**48 by a hash of id and seed."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("id"))), 1, 12), 16, 10).cast("double")
+
+
 def sample_reservoir(rows: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """n rows, every set of n as likely: those with the lowest seeded hashes."""
-    return rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    return rows.orderBy(draw_order(seed), "id").limit(n)
 
 
 def sample_stratified(assigned: DataFrame, fraction: float, seed: int = 1) -> DataFrame:
     """Of each cluster the share, and one row at least."""
     w = Window.partitionBy("cluster")
-    ranked = assigned.withColumns({"r": F.row_number().over(w.orderBy(F.xxhash64("id", F.lit(seed)), "id")), "n": F.count("*").over(w)})
+    ranked = assigned.withColumns({"r": F.row_number().over(w.orderBy(draw_order(seed), "id")), "n": F.count("*").over(w)})
     return ranked.where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * fraction))).drop("r", "n")
 
 
 def sample_coreset(rows: DataFrame, n: int) -> list:
     """Ids of n rows, each the farthest from those before; the first has the smallest id. One pass a row: for small n."""
-    first = rows.orderBy("id").limit(1).select("id", "vector").collect()
-    chosen = [(r["id"], np.array(r["vector"], float)) for r in first]
+    chosen = [(r["id"], np.array(r["vector"], float)) for r in rows.where("vector is not null").orderBy("id").limit(1).select("id", "vector").collect()]
     while chosen and len(chosen) < n:
-        far = assign(rows, np.array([v for _, v in chosen])).orderBy(F.desc("distance"), "id").limit(1)
-        hit = far.join(rows.select("id", "vector"), "id").first()
+        hit = assign(rows, np.array([v for _, v in chosen]), ("vector",)).orderBy(F.desc("distance"), "id").first()
         if hit is None or hit["distance"] == 0:
             break
         chosen.append((hit["id"], np.array(hit["vector"], float)))
@@ -184,7 +207,7 @@ def sample_coreset(rows: DataFrame, n: int) -> list:
 def sample_importance(rows: DataFrame, weight: str, n: int, seed: int = 1) -> DataFrame:
     """n draws with replacement, by weight: id, draws. Each row's count of draws is the number of even marks it covers."""
     total = rows.agg(F.sum(weight)).first()[0] or 0.0
-    part = rows.select("id", F.col(weight).cast("double").alias("w"), F.xxhash64("id").cast("double").alias("o"))
+    part = rows.select("id", F.col(weight).cast("double").alias("w"), draw_order(seed).alias("o"))
     ends = running_total(part, "o", "id", "w", "end")
     shift = float(np.random.default_rng(seed).random())
     marks = lambda x: F.floor(x / total * n + shift)

@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vexel import sources, streaming
 from vexel.functions import vectors as V
 from vexel.operators import store as S
+from vexel.operators.shared import scratch
 from vexel.queries.searching import rows
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the session's shared one; only where all runs in one process, that may be a temporary one."""
-    import atexit
-    import re
-    import shutil
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="vexel-")
-        atexit.register(shutil.rmtree, root, True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id as text, vector, metadata as JSON."""
     return rows(spark, sf_dir).select(F.col("id").cast("string").alias("id"), V.doubles("vector").alias("vector"), F.to_json(F.struct(F.col("label").cast("string").alias("label"))).alias("metadata"))
