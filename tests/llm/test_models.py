@@ -4,11 +4,13 @@ import math
 import random
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from vexel.llm import katz, lang_gru, queries, toxicity
+from vexel.llm import katz, katz_corpus, lang_gru, queries, toxicity
 from vexel.llm.session import held_out
 
 
@@ -122,6 +124,64 @@ def test_probabilities_add_up_to_one_in_every_context(spark, share):
     assert np.allclose(whole, 1.0)
 
 
+def plain_katz(train, order=3, k=5):
+    """log10 P of a text by counts in dictionaries, from the definition."""
+    tokens = lambda t: [*t.encode().lower().split(), None]
+    counts = [Counter(tuple(w[i : i + n]) for t in train for w in [tokens(t)] for i in range(len(w) - n + 1)) for n in range(1, order + 1)]
+
+    def discounts(c):
+        n = Counter(c.values())
+        a = (k + 1) * n[k + 1] / n[1] if n[1] else 1
+        d = [((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) if a < 1 and n[r] else 0 for r in range(1, k + 1)]
+        return d if all(n[r] for r in range(1, k + 2)) and all(0 < x <= 1 for x in d) else None
+
+    ds = [discounts(c) for c in counts]
+    total = sum(counts[0].values())
+
+    def share(n, g):
+        c = counts[n - 1][g]
+        return c * (ds[n - 1][c - 1] if ds[n - 1] and c <= k else 1.0)
+
+    after = {}
+    for n in range(2, order + 1):
+        for g in counts[n - 1]:
+            after.setdefault(g[:-1], []).append(g)
+
+    @lru_cache(None)
+    def prob(g):
+        n = len(g)
+        if n == 1:
+            if g not in counts[0]:
+                return Counter(counts[0].values())[1] / total if ds[0] else 1 / (total + 1)
+            return share(1, g) / (total if ds[0] else total + 1)
+        seen = after.get(g[:-1])
+        if not seen:
+            return prob(g[1:])
+        c = counts[n - 2][g[:-1]]
+        size = c + 1 if sum(share(n, x) for x in seen) / c > 1 - 1e-9 else c
+        if g in counts[n - 1]:
+            return share(n, g) / size
+        return (1 - sum(share(n, x) for x in seen) / size) / (1 - sum(prob(x[1:]) for x in seen)) * prob(g[1:])
+
+    return lambda t: sum(math.log10(prob(tuple(w[max(0, i - order + 1) : i + 1]))) for w in [tokens(t)] for i in range(len(w)))
+
+
+@pytest.mark.parametrize("of", ["words", "phrases"])
+def test_scores_equal_plain_katz(spark, of):
+    """Words' and pairs' counts allow discounts in the first corpus, pairs' and triples' in the second."""
+    rnd = np.random.default_rng(5)
+    phrases = [" ".join(f"w{x}" for x in rnd.integers(0, 60, 4)) for _ in range(2000)] if of == "phrases" else []
+    draw = (lambda: " ".join(f"w{min(3000, int(x))}" for x in 20 * rnd.pareto(0.9, rnd.integers(0, 60)))) if of == "words" else (lambda: " ".join(phrases[min(1999, int(x))] for x in 30 * rnd.pareto(0.9, rnd.integers(0, 15))))
+    texts = [draw() for _ in range(400)] + ["never w0 w1 seen w0 w0 w0", "", "W0 w1 w2", "w0 w0 w1 w1"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, found = katz.train(table.where("doc_id < 300"))
+    score = plain_katz(texts[:300])
+    assert bool(model.discount) == (of == "words")
+    for got in (katz.score(table, model, found), katz_corpus.learn_and_score(table, F.col("doc_id") < 300), katz_corpus.learn_and_score(table, F.col("doc_id") < 300, block=150, part_bytes=900)):
+        rows = {r["doc_id"]: r for r in got.collect()}
+        assert set(rows) == set(range(len(texts))) and all(abs(rows[i]["score"] - score(t)) < 1e-6 for i, t in enumerate(texts))
+
+
 def test_rare_words_are_scored_by_the_table(spark):
     docs = random_docs(spark, 120, 2)
     one = {r["doc_id"]: r for r in katz.score(docs, *katz.train(docs, order=1, share=1e-6)).collect()}

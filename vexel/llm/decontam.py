@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from vexel.llm.katz import Index
-from vexel.llm.session import written
+from vexel.llm.session import small_batches, written
 from vexel.llm.words import ALNUM, U64, mix, run_hashes, segments, text_chunks
 
 MAX_EDITS, RECALL, SYMBOLS, WALKS = 0.2, 0.95, 3, 4
+#: Repetitions at most, far above what any length has been seen to need; windows keyed at a time.
+MOST, WINDOWS = 4096, 8192
 PAD = U64(0x6A09E667F3BCC909)
 _STEP = U64(0x9FB21C651E98DF25)
 
@@ -122,7 +124,7 @@ def plan(items: list[tuple[object, bytes]], max_edits: float = MAX_EDITS, recall
     for members in by_class.values():
         sizes = [len(words[i]) for i in members]
         span = max(symbols, int(1.6 * min(sizes)))
-        trial = rng.integers(0, span, (256, symbols))
+        trial = rng.integers(0, span, (MOST, symbols))
         same = _equal_keys([words[members[k]] for k in rng.integers(0, len(members), 60)], trial[:48], max_edits, rng)
         repetitions = int(np.clip(np.ceil(np.log(1 - recall) / np.log(1 - min(same, 1 - 1e-9))), WALKS, len(trial)))
         steps = trial[:repetitions]
@@ -176,13 +178,15 @@ def leaks(made: Plan, words: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
         at = np.flatnonzero(inside[np.minimum(start + reach, ends)] - inside[:-1] >= need)
         if not len(at):
             continue
-        keys = _keys(words, at, ends[at], c.steps, coins)
-        hit = c.keys.find(keys.ravel())
-        found = np.flatnonzero(hit >= 0)
-        counts = c.first[hit[found] + 1] - c.first[hit[found]]
-        item = c.items[np.repeat(c.first[hit[found]], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
-        where = np.repeat(at[found % len(at)], counts)
-        pairs = np.unique(item.astype(np.int64) << 40 | where)
+        met = [np.zeros(0, np.int64)]
+        for a in range(0, len(at), WINDOWS):
+            part = at[a : a + WINDOWS]
+            hit = c.keys.find(_keys(words, part, ends[part], c.steps, coins).ravel())
+            found = np.flatnonzero(hit >= 0)
+            counts = c.first[hit[found] + 1] - c.first[hit[found]]
+            item = c.items[np.repeat(c.first[hit[found]], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
+            met.append(np.unique(item.astype(np.int64) << 40 | np.repeat(part[found % len(part)], counts)))
+        pairs = np.concatenate(met)
         for i, p in zip((pairs >> 40).tolist(), (pairs & ((1 << 40) - 1)).tolist(), strict=True):
             key = (int(doc[p]), i)
             if best.get(key) == 0:
@@ -208,7 +212,7 @@ def matches(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, blo
         mine = items.where(F.coalesce(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)), F.lit(0)) == b).select("item_id", "text")
         rows = sorted(((r["item_id"], (r["text"] or "").encode()) for r in mine.collect()), key=lambda r: (str(r[0]), r[1]))
         now = spark.sparkContext.broadcast(plan(rows, max_edits, **options))
-        parts.append(docs.select("text", "doc_id").mapInArrow(_finder(now, to_arrow_type(items.schema["item_id"].dataType)), f"doc_id {kind}, item_id {item_kind}, edits int"))
+        parts.append(small_batches(docs.select("text", "doc_id")).mapInArrow(_finder(now, to_arrow_type(items.schema["item_id"].dataType)), f"doc_id {kind}, item_id {item_kind}, edits int"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vexel.llm.components import components
-from vexel.llm.session import shared_dir, small, written
+from vexel.llm.session import shared_dir, small, small_batches, written
 from vexel.llm.sketch import bucket, bucket_counts
 from vexel.llm.words import U64, mix, shingles, text_chunks, word_hashes
 
@@ -63,7 +63,7 @@ def nodes(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 found = sets(texts, words)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, end - first), pa.array([len(s) for s in found], pa.int64()), pa.array([node_of(s) if len(s) else None for s in found], pa.int64())], names=["doc_id", "n_shingles", "node"])
 
-    return docs.select("text", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return small_batches(docs.select("text", F.col("doc_id").cast("long"))).mapInArrow(run, "doc_id long, n_shingles long, node long")
 
 
 def new_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:

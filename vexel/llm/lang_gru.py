@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vexel.llm.session import small_batches
 from vexel.llm.words import text_chunks
 
 WINDOW, HIDDEN = 128, 8
@@ -217,4 +218,4 @@ def identify(docs: DataFrame, net: Net | None, keys: tuple[str, ...] = ("doc_id"
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(np.minimum(top, 1.0))], names=[*keys, "lang_pred", "score"])
 
     shown = F.when(has_letter(F.col("text")), F.col("text")).otherwise("")
-    return docs.select(shown.alias("__shown"), *keys).mapInArrow(run, schema)
+    return small_batches(docs.select(shown.alias("__shown"), *keys)).mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.session import written
+from vexel.llm.session import small_batches, written
 
 LENGTH = 2048
 _encoders: dict[str, tuple] = {}
@@ -111,7 +111,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, len
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=False)], names=names)
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return picked.mapInArrow(run, schema)
+    return small_batches(picked).mapInArrow(run, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

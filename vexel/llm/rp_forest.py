@@ -7,11 +7,12 @@
 3. A query walks all trees by one queue, nearest margin first, until the leaves popped hold a share `probe` of the sample,
    counted over all trees together, or `least` sample points.
 4. The queries, in blocks of bounded size, are sent to the points, where they lie: a point is a query's candidate if one
-   of its leaves is among the query's. Each batch of points keeps the nearest candidates by exact distance in double
-   precision, and the batches' best are merged. So no vector is shuffled, and a crowded leaf burdens no single task.
+   of its leaves is among the query's. Each task keeps the nearest candidates of its points by exact distance in double
+   precision, and the tasks' best are merged. So no vector is shuffled, and a crowded leaf burdens no single task.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose length isn't the
 most frequent one (the smaller of two as frequent). Rows that repeat an id and its vector count once. Ties go to the smaller id.
+Other columns than id and vector are not read. Without usable vectors, or without queries, the result is empty.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, ids: str = "
     # Queries with equal vectors are searched once.
     kind = asked.schema["vector"].dataType.simpleString()
     sought = written(asked.select("vector").distinct().withColumn("seek", F.monotonically_increasing_id()), "sought")
-    plans = written(sought.mapInPandas(ask, f"vector {kind}, seek long, places array<int>"), "plans")
+    plans = written(sought.repartition(F.col("seek")).mapInPandas(ask, f"vector {kind}, seek long, places array<int>"), "plans")
     blocks = max(1, -(-plans.count() // block))
     near = None
     for b in range(blocks):
@@ -159,6 +160,7 @@ def _scan(forest, plan, width: int, k: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeks, asked, places = plan.value
+        best: list[list[tuple[float, int]]] = [[] for _ in seeks]
         for f in frames:
             if not len(f):
                 continue
@@ -167,19 +169,18 @@ def _scan(forest, plan, width: int, k: int):
             cells = (forest.value.leaves(x) + np.arange(len(forest.value.cuts), dtype=np.int64) * width).ravel()
             order = np.argsort(cells, kind="stable")
             cells, row = cells[order], order // len(forest.value.cuts)
-            out = []
-            for seek, q, want in zip(seeks, asked, places, strict=True):
-                lo, hi = np.searchsorted(cells, want, "left"), np.searchsorted(cells, want, "right")
+            for n, (q, want) in enumerate(zip(asked, places, strict=True)):
+                lo = np.searchsorted(cells, want, "left")
+                size = np.searchsorted(cells, want, "right") - lo
                 mark = np.zeros(len(x), bool)
-                for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
-                    mark[row[a:b]] = True
+                mark[row[np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)]] = True
                 at = np.flatnonzero(mark)
                 d = np.sqrt(((x[at] - q) ** 2).sum(axis=1))
                 if len(d) > k + 1:
                     close = d <= np.partition(d, k)[k]
                     at, d = at[close], d[close]
-                pairs = sorted((s, i) for s, r in zip(d.tolist(), at.tolist(), strict=True) for i in ids[r])
-                out += [(seek, i, s) for s, i in pairs[: k + 1]]
-            yield pd.DataFrame(out, columns=["seek", "vec_id", "score"])
+                pairs = best[n] + [(s, i) for s, r in zip(d.tolist(), at.tolist(), strict=True) for i in ids[r]]
+                best[n] = sorted(pairs)[: k + 1]
+        yield pd.DataFrame([(seek, i, s) for seek, pairs in zip(seeks, best, strict=True) for s, i in pairs], columns=["seek", "vec_id", "score"])
 
     return run

@@ -32,6 +32,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches have at most so many bytes, whatever the texts' lengths.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The table, for a session whose Arrow batches are no larger than BATCH_BYTES, since workers hold some copies of a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if _bytes(conf.get(key, str(64 << 20))) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def _bytes(text: str) -> int:
+    """Bytes from a setting such as 67108864b, 64m or 1g."""
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", text.strip().lower()).groups()
+    return int(number) << {"k": 10, "m": 20, "g": 30}.get(unit[:1], 0)
+
+
 def held_out(doc_id: str, modulus: int, remainder: int):
     """Whether crc32 of the id as text leaves this remainder."""
     return (F.crc32(F.col(doc_id).cast("string")) % modulus == remainder).alias("held_out")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexel.llm.session import small, written
+from vexel.llm.session import small, small_batches, written
 from vexel.llm.words import U64, mix, power_tables
 
 RUN, WINDOW, LEAST_WORDS = 3, 8, 38
@@ -163,7 +163,7 @@ def span_rows(docs: DataFrame, run: int = RUN, window: int = WINDOW) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(h[j].view(np.int64)), pa.array(ids[text[j]]), pa.array(versions[text[j]] << 32 | at[j])], names=["h", "doc", "place"])
 
     rows = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), _version().alias("version"), "text")
-    return rows.mapInArrow(work, "h long, doc long, place long")
+    return small_batches(rows).mapInArrow(work, "h long, doc long, place long")
 
 
 def repeated(docs: DataFrame, run: int = RUN, window: int = WINDOW) -> DataFrame:
@@ -237,4 +237,4 @@ def dedup(docs: DataFrame, run: int = RUN, window: int = WINDOW, least_words: in
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = T.StructType([*joined.schema.fields[:-1], T.StructField("__n", T.IntegerType()), T.StructField("__r", T.IntegerType())])
-    return joined.mapInArrow(work, schema).withColumnsRenamed({"__n": "n_sentences", "__r": "n_removed"})
+    return small_batches(joined).mapInArrow(work, schema).withColumnsRenamed({"__n": "n_sentences", "__r": "n_removed"})
