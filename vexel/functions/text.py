@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -73,7 +74,10 @@ def cut_fixed(text: str, longest: int = 1000, overlap: int = 200, shortest: int
 
 
 def cut_paragraphs(text: str, longest: int = 1000, overlap: int = 200, shortest: int = 100) -> list[tuple[int, str]]:
-    """Paragraphs (blank lines between them) packed into chunks; longer ones are cut as by cut_fixed."""
+    """Paragraphs (blank lines between them) packed into chunks; longer ones are cut as by cut_fixed.
+
+    A chunk begins with as many of the last paragraphs of the one before as have at most `overlap` characters together.
+    """
     parts, at = [], 0
     for m in [*re.finditer(r"\n\s*\n", text), None]:
         end = m.start() if m else len(text)
@@ -81,17 +85,28 @@ def cut_paragraphs(text: str, longest: int = 1000, overlap: int = 200, shortest:
             parts.append((at, end))
         at = m.end() if m else end
     out: list[tuple[int, str]] = []
-    first = last = None
+    held: list[tuple[int, int]] = []  # paragraphs of the chunk that is being packed
+    fresh = False  # whether any of them isn't in the chunk before
+
+    def close() -> None:
+        nonlocal fresh
+        if fresh:
+            out.append((held[0][0], text[held[0][0] : held[-1][1]]))
+        fresh = False
+
     for a, b in parts:
-        if first is not None and b - first > longest:
-            out.append((first, text[first:last]))
-            first = None
         if b - a > longest:
+            close()
+            held = []
             out += [(a + s, t) for s, t in cut_fixed(text[a:b], longest, overlap, shortest)]
             continue
-        first, last = (a if first is None else first), b
-    if first is not None:
-        out.append((first, text[first:last]))
+        if held and b - held[0][0] > longest:
+            close()
+            while held and (held[-1][1] - held[0][0] > overlap or b - held[0][0] > longest):
+                held.pop(0)
+        held.append((a, b))
+        fresh = True
+    close()
     return [(a, t) for a, t in out if len(t) >= shortest] or out[:1]
 
 
@@ -124,12 +139,19 @@ def cut_recursive(text: str, longest: int = 1000, overlap: int = 200, shortest:
     return [(a, t) for a, t in found if len(t.strip()) >= shortest] or found[:1]
 
 
+#: Own chunkers, token estimators and embedders are functions of these kinds.
+Chunker = Callable[[str, int, int, int], list[tuple[int, str]]]
+TokenEstimator = Callable[[Column | str], Column]
+Embedder = Callable[[list[str]], "np.ndarray"]
 CHUNKERS = {"fixed": cut_fixed, "paragraphs": cut_paragraphs, "recursive": cut_recursive}
 
 
-def chunk(docs: DataFrame, strategy: str = "fixed", longest: int = 1000, overlap: int = 200, shortest: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, chunk (from 0), chunks, start, end, content, tokens of each document; null and empty texts have none."""
-    cut = CHUNKERS[strategy]
+def chunk(docs: DataFrame, strategy: str | Chunker = "fixed", longest: int = 1000, overlap: int = 200, shortest: int = 100, id_col: str = "doc_id", text: str = "text", tokens: TokenEstimator = tokens_by_length) -> DataFrame:
+    """id, chunk (from 0), chunks, start, end, content, tokens of each document; null and empty texts have none.
+
+    The strategy is a name or any function of (text, longest, overlap, shortest) that gives (start, content) of the chunks.
+    """
+    cut = CHUNKERS[strategy] if isinstance(strategy, str) else strategy
 
     @F.pandas_udf("array<struct<start:int,content:string>>")
     def run(s: pd.Series) -> pd.Series:
@@ -137,7 +159,7 @@ def chunk(docs: DataFrame, strategy: str = "fixed", longest: int = 1000, overlap
 
     made = docs.select(id_col, run(text).alias("c"))
     rows = made.select(id_col, F.size("c").alias("chunks"), F.posexplode("c").alias("chunk", "x"))
-    return rows.select(id_col, "chunk", "chunks", F.col("x.start").alias("start"), (F.col("x.start") + F.length("x.content")).alias("end"), F.col("x.content").alias("content"), tokens_by_length("x.content").alias("tokens"))
+    return rows.select(id_col, "chunk", "chunks", F.col("x.start").alias("start"), (F.col("x.start") + F.length("x.content")).alias("end"), F.col("x.content").alias("content"), tokens("x.content").alias("tokens"))
 
 
 def chunk_estimate(text: Column | str, strategy: str = "fixed", longest: int = 1000, overlap: int = 200) -> Column:
@@ -148,30 +170,52 @@ def chunk_estimate(text: Column | str, strategy: str = "fixed", longest: int = 1
     return F.greatest(F.least(n, F.lit(1)), F.ceil(n / float(longest)))
 
 
-def hashed_embedding(text: Column | str, dimension: int = 64) -> Column:
-    """A text's embedding: each word (letters and digits) adds one to the bucket of its MD5; then scaled to length 1.
+def word_buckets(texts: list[str], dimension: int = 64, positional: float = 0.0) -> np.ndarray:
+    """(texts, dimension): each word (letters and digits) adds one to the bucket of its MD5; then scaled to length 1; texts without words: 0.
 
-    One Arrow batch at a time; a word's bucket is worked out once a batch. Texts without words have the zero vector, null texts null.
+    With `positional`, that weight over 1 + the word's place is added to the bucket after it, so that order counts.
     """
+    buckets: dict[str, int] = {}
+    out = np.zeros((len(texts), dimension))
+    for row, t in zip(out, texts, strict=True):
+        words = re.findall(r"[^\W_]+", t.lower())
+        for w in set(words).difference(buckets):
+            buckets[w] = int.from_bytes(hashlib.md5(w.encode(), usedforsecurity=False).digest()[:4]) % dimension
+        at = np.array([buckets[w] for w in words], np.int64)
+        row += np.bincount(at, minlength=dimension)
+        if positional and len(at):
+            row += np.bincount((at + 1) % dimension, weights=positional / (1.0 + np.arange(len(at))), minlength=dimension)
+        row /= np.sqrt((row * row).sum()) or 1.0
+    return out
+
+
+def embedding(text: Column | str, embed: Embedder) -> Column:
+    """Texts to vectors by any function of a list of texts, one Arrow batch at a time; null for null."""
 
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        buckets: dict[str, int] = {}
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            words = re.findall(r"[^\W_]+", t.lower())
-            for w in set(words).difference(buckets):
-                buckets[w] = int.from_bytes(hashlib.md5(w.encode(), usedforsecurity=False).digest()[:4]) % dimension
-            counts = np.bincount([buckets[w] for w in words], minlength=dimension).astype(float)
-            out.append(counts / (np.sqrt((counts * counts).sum()) or 1.0))
-        return pd.Series(out)
+        have = texts.notna().to_numpy()
+        out = pd.Series([None] * len(texts), dtype=object)
+        if have.any():
+            for i, v in zip(np.flatnonzero(have).tolist(), embed(texts[have].tolist()), strict=True):
+                out.iloc[i] = np.asarray(v, float)
+        return out
 
     return run(text)
 
 
+def hashed_embedding(text: Column | str, dimension: int = 64, positional: float = 0.0) -> Column:
+    """A text's embedding by word_buckets. Deterministic."""
+    return embedding(text, lambda texts: word_buckets(texts, dimension, positional))
+
+
+def embed_distinct(docs: DataFrame, text: str, embed: Embedder, name: str = "vector") -> DataFrame:
+    """The rows with their text's vector; a text that many rows share is embedded once. Null texts have none."""
+    known = docs.select(text).where(F.col(text).isNotNull()).distinct().select(F.xxhash64(text).alias("__h"), F.md5(text).alias("__m"), embedding(text, embed).alias(name))
+    keyed = docs.withColumns({"__h": F.xxhash64(text), "__m": F.md5(text)})
+    return keyed.join(known, ["__h", "__m"], "left").select(*docs.columns, name)
+
+
 def word_set(text: Column | str) -> Column:
     """The different words of a text, between white space, in lower case."""
     return F.array_distinct(F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: w != ""))

@@ -121,3 +121,27 @@ def prefetch(log: DataFrame, by: str, top: int = 3, least: float = 0.2) -> DataF
     """prev, key, share: what to fetch after a key, by transitions above the share."""
     w = Window.partitionBy("prev").orderBy(F.desc("share"), "key")
     return transitions(log, by, least).withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select("prev", "key", "share")
+
+
+def prefetch_next(log: DataFrame, by: str, within: float = 3600.0, top: int = 3) -> DataFrame:
+    """prev, key, n by time: the keys accessed most often within so many seconds after a key, in the same sequence, next but itself."""
+    w = Window.partitionBy(by).orderBy("ts", "event_id")
+    steps = log.select("key", "ts", *(F.lead(F.struct("key", "ts"), i).over(w).alias(f"n{i}") for i in range(1, 4)))
+    later = steps.select("key", "ts", F.explode(F.array("n1", "n2", "n3")).alias("x")).where((seconds("x.ts") - seconds("ts") <= within) & (F.col("x.key") != F.col("key")))
+    counts = later.select(F.col("key").alias("prev"), F.col("x.key").alias("key")).groupBy("prev", "key").agg(F.count("*").alias("n"))
+    return counts.withColumn("r", F.row_number().over(Window.partitionBy("prev").orderBy(F.desc("n"), "key"))).where(F.col("r") <= top).drop("r")
+
+
+def prefetch_sequence(log: DataFrame, ahead: int = 3, least: int = 3) -> DataFrame:
+    """key, step, next: for keys that end a run of at least `least` accesses with one stride between numbers, the keys that would follow."""
+    w = Window.partitionBy("stream").orderBy("ts", "event_id")
+    gaps = log.withColumn("stride", F.col("key") - F.lag("key").over(w)).withColumn("new", F.when(F.col("stride") == F.lag("stride").over(w), 0).otherwise(1))
+    runs = gaps.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("stride != 0")
+    ends = runs.groupBy("stream", "run").agg(F.count("*").alias("length"), F.max_by("key", F.struct("ts", "event_id")).alias("key"), F.first("stride").alias("stride")).where(F.col("length") >= least - 1)
+    return ends.select("stream", "key", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(ahead)), lambda i: F.col("key") + i * F.col("stride"))).alias("step", "next")).withColumn("step", F.col("step") + 1)
+
+
+def prefetch_frequent(log: DataFrame, top: int) -> DataFrame:
+    """rank, key, n: the keys accessed most."""
+    counts = log.groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(top)
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "key"))).select("rank", "key", "n")

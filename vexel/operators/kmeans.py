@@ -153,6 +153,12 @@ def update_batches(rows: DataFrame, centroids: np.ndarray, batch_of: Column, bat
     return c
 
 
+def soft_centroids(rows: DataFrame) -> DataFrame:
+    """cluster, i, x: means of the vectors weighted by the probabilities (an array) of their clusters."""
+    long = rows.select("vector", F.posexplode("probability").alias("cluster", "p")).select("cluster", "p", F.posexplode(F.col("vector").cast("array<double>")).alias("i", "x"))
+    return long.groupBy("cluster", "i").agg((F.sum(F.col("p") * F.col("x")) / F.sum("p")).alias("x"))
+
+
 def centroid_table(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     return rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "cluster int, centroid array<double>")
 

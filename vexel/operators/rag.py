@@ -66,9 +66,9 @@ def within_budget(rows: DataFrame, by: str, order: list[Column], tokens: str, bu
     return rows.withColumn("used", F.sum(tokens).over(w)).where(F.col("used") <= budget)
 
 
-def history(turns: DataFrame, budget: int) -> DataFrame:
+def history(turns: DataFrame, budget: int, estimate: X.TokenEstimator = X.tokens_by_length) -> DataFrame:
     """The newest turns of each conversation whose tokens fit: conv_id, turn, tokens, used."""
-    sized = turns.select("conv_id", "turn", X.tokens_by_length(F.coalesce("text", F.lit(""))).alias("tokens"))
+    sized = turns.select("conv_id", "turn", estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
     return within_budget(sized, "conv_id", [F.desc("turn")], "tokens", budget)
 
 
@@ -114,13 +114,18 @@ def figures(retrieved: DataFrame, included: DataFrame) -> DataFrame:
     return retrieved.groupBy("query_id").agg(F.count("*").alias("retrieved")).join(inside, "query_id", "left").fillna(0, ["included", "sources"])
 
 
-def assemble(conversation: DataFrame, chunks: DataFrame, total: int, examples: int = 0) -> DataFrame:
-    """query_id, kind, id, tokens of a prompt's parts: history within a third, examples within a quarter or 500, chunks in the rest."""
+def assemble(conversation: DataFrame, chunks: DataFrame, total: int, examples: DataFrame | None = None) -> DataFrame:
+    """query_id, kind, id, tokens of a prompt's parts: history within a third of the tokens; examples (query_id, id, tokens), in
+    order of id, within a quarter of what is left, and 500; chunks in the rest."""
     past = history(conversation, total // 3)
-    used = past.groupBy("conv_id").agg(F.max("used").alias("spent"))
-    example_budget = min(total // 4, 500) if examples else 0
-    rest = chunks.join(used.withColumnRenamed("conv_id", "query_id"), "query_id", "left")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    rest = rest.withColumn("upto", F.sum("tokens").over(w)).where(F.col("upto") <= total - example_budget - F.coalesce("spent", F.lit(0)))
     parts = past.select(F.col("conv_id").alias("query_id"), F.lit("history").alias("kind"), F.col("turn").cast("string").alias("id"), "tokens")
+    spent = past.groupBy(F.col("conv_id").alias("query_id")).agg(F.max("used").alias("spent"))
+    if examples is not None:
+        w = Window.partitionBy("query_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+        left = F.least(F.lit(500), F.floor((total - F.coalesce("spent", F.lit(0))) / 4))
+        shown = examples.join(spent, "query_id", "left").withColumn("used", F.sum("tokens").over(w)).where(F.col("used") <= left)
+        parts = parts.unionByName(shown.select("query_id", F.lit("example").alias("kind"), F.col("id").cast("string").alias("id"), "tokens"))
+        spent = parts.groupBy("query_id").agg(F.sum("tokens").alias("spent"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    rest = chunks.withColumn("upto", F.sum("tokens").over(w)).join(spent, "query_id", "left").where(F.col("upto") <= total - F.coalesce("spent", F.lit(0)))
     return parts.unionByName(rest.select("query_id", F.lit("chunk").alias("kind"), F.col("id").cast("string").alias("id"), "tokens"))

@@ -16,23 +16,42 @@ def best(scores: DataFrame, k: int, by: str = "user_id", id_col: str = "item_id"
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def unseen(scores: DataFrame, interactions: DataFrame) -> DataFrame:
-    return scores.join(interactions.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
+def unseen(scores: DataFrame, taken: DataFrame) -> DataFrame:
+    """taken: the distinct (user_id, item_id)."""
+    return scores.join(taken, ["user_id", "item_id"], "left_anti")
 
 
-def by_users(neighbours: DataFrame, interactions: DataFrame, k: int) -> DataFrame:
-    """From each user's nearest users (user_id, other, distance): the sum of 1 - distance over those who took an item; items seen go."""
-    liked = interactions.select(F.col("user_id").alias("other"), "item_id").distinct()
+def user_vectors(interactions: DataFrame, items: DataFrame, attribute: str) -> DataFrame:
+    """id, vector: how often each user took items of each value of an attribute with few values."""
+    values = [r[0] for r in items.select(attribute).where(F.col(attribute).isNotNull()).distinct().orderBy(attribute).limit(10_000).collect()]
+    joined = interactions.join(items.select("item_id", attribute), "item_id").groupBy(F.col("user_id").alias("id"), attribute).agg(F.count("*").cast("double").alias("n"))
+    of = joined.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(attribute, "n"))).alias("m"))
+    return of.select("id", F.transform(F.lit(values), lambda v: F.coalesce(F.element_at("m", v), F.lit(0.0))).alias("vector"))
+
+
+def nearest_users(vectors: DataFrame, k: int = 20, metric: str = "cosine") -> DataFrame:
+    """user_id, other, distance: each user's k nearest other users. Exact, block by block; for very many users, search lists instead."""
+    queries = vectors.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    near = knn.search(vectors, queries, k + 1, metric).where("id != query_id")
+    w = Window.partitionBy("query_id").orderBy("rank")
+    return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select(F.col("query_id").alias("user_id"), F.col("id").alias("other"), "distance")
+
+
+def by_users(neighbours: DataFrame, taken: DataFrame, k: int) -> DataFrame:
+    """From each user's nearest users (user_id, other, distance): the sum of 1 - distance over those who took an item; items seen go.
+
+    taken: the distinct (user_id, item_id).
+    """
+    liked = taken.select(F.col("user_id").alias("other"), "item_id")
     scores = neighbours.join(liked, "other").groupBy("user_id", "item_id").agg(F.sum(1.0 - F.col("distance")).alias("score"))
-    return best(unseen(scores, interactions), k)
+    return best(unseen(scores, taken), k)
 
 
-def by_items(similar: DataFrame, interactions: DataFrame, k: int) -> DataFrame:
+def by_items(similar: DataFrame, taken: DataFrame, k: int) -> DataFrame:
     """From items similar (item_id, other, similarity) to those a user took: the sum of similarities; items seen go."""
-    taken = interactions.select("user_id", F.col("item_id").alias("liked")).distinct()
     near = similar.select(F.col("item_id").alias("liked"), F.col("other").alias("item_id"), "similarity")
-    scores = taken.join(near, "liked").groupBy("user_id", "item_id").agg(F.sum("similarity").alias("score"))
-    return best(unseen(scores, interactions), k)
+    scores = taken.withColumnRenamed("item_id", "liked").join(near, "liked").groupBy("user_id", "item_id").agg(F.sum("similarity").alias("score"))
+    return best(unseen(scores, taken), k)
 
 
 def profile(interactions: DataFrame, items: DataFrame, strong: float = 1.0, weak: float = 0.5) -> DataFrame:
@@ -57,15 +76,32 @@ def content_score(category: Column, attribute: Column, price: Column, quality: C
     return F.least(F.lit(1.0), 0.4 * category + 0.2 * attribute + 0.2 * price + 0.2 * quality)
 
 
-def by_content(profiles: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
+def shares(profiles: DataFrame) -> DataFrame:
+    """user_id, category, share: a category's weight over the user's greatest."""
+    return profiles.withColumn("share", F.col("weight") / F.max("weight").over(Window.partitionBy("user_id"))).select("user_id", "category", "share")
+
+
+def by_content(profiles: DataFrame, items: DataFrame, least: float = 0.5, each: int | None = None, also: DataFrame | None = None) -> DataFrame:
     """user_id, item_id, score of items in a user's categories: the category counts by its share of the user's greatest weight.
 
-    items: item_id, category, attribute, price, quality (three parts between 0 and 1).
+    items: item_id, category, attribute, price, quality (three parts between 0 and 1), and for some `bonus`, which orders them
+    besides. Within a category the users agree on the order of items; with `each` only a category's first so many are scored,
+    which are all that a cut to as many best ones can need, so that users don't meet all items of a large category.
+    also: further pairs (user_id, item_id) to score.
     """
-    top = profiles.groupBy("user_id").agg(F.max("weight").alias("top"))
-    shares = profiles.join(top, "user_id").select("user_id", "category", (F.col("weight") / F.col("top")).alias("share"))
-    scores = shares.join(items, "category").select("user_id", "item_id", content_score(F.col("share"), F.col("attribute"), F.col("price"), F.col("quality")).alias("score"))
-    return scores.where(F.col("score") > least)
+    own = content_score(F.lit(0.0), F.col("attribute"), F.col("price"), F.col("quality"))
+    base = items.withColumn("own", own)
+    score = F.least(F.lit(1.0), 0.4 * F.col("share") + F.col("own"))
+    first = base
+    if each is not None:
+        bonus = F.col("bonus") if "bonus" in items.columns else F.lit(0.0)
+        w = Window.partitionBy("category").orderBy(F.desc(F.round(own + bonus, 9)), "item_id")
+        first = base.withColumn("r", F.row_number().over(w)).where(F.col("r") <= each)
+    found = shares(profiles).join(first.select("item_id", "category", "own"), "category").select("user_id", "item_id", score.alias("score"))
+    if also is not None:
+        asked = also.select("user_id", "item_id").distinct().join(base.select("item_id", "category", "own"), "item_id")
+        found = found.unionByName(asked.join(shares(profiles), ["user_id", "category"]).select("user_id", "item_id", score.alias("score"))).distinct()
+    return found.where(F.col("score") > least)
 
 
 def fuse(parts: list[tuple[DataFrame, float]], keys: list[str]) -> DataFrame:

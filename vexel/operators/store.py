@@ -31,8 +31,8 @@ def split(rows: DataFrame, dimension: int) -> tuple[DataFrame, DataFrame]:
 
 
 def latest(rows: DataFrame, order: str, id_col: str = "id") -> DataFrame:
-    """Of each id the row that comes last by the order column."""
-    w = Window.partitionBy(id_col).orderBy(F.desc(order))
+    """Of each id the row that comes last by the order column; of equally late ones the one whose columns, as text, hash lowest."""
+    w = Window.partitionBy(id_col).orderBy(F.desc(order), F.xxhash64(*rows.columns))
     return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
@@ -99,6 +99,36 @@ def tier_statistics(items: DataFrame) -> DataFrame:
     return items.groupBy("tier").agg(F.count("*").alias("items"), F.sum("size").alias("bytes"), F.avg("size").alias("average"))
 
 
+NEXT_UP, NEXT_DOWN = {"archive": "ssd", "ssd": "memory"}, {"memory": "ssd", "ssd": "archive"}
+
+
+def migrated(items: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The items with their tier after one cycle: promote and demote (by id) move it by one step; moved says which ones."""
+    step = lambda table: F.coalesce(*(F.when(F.col("tier") == a, b) for a, b in table.items()), F.col("tier"))
+    joined = items.join(decisions.select("id", "decision"), "id", "left")
+    new = F.when(F.col("decision") == "promote", step(NEXT_UP)).when(F.col("decision") == "demote", step(NEXT_DOWN)).otherwise(F.col("tier"))
+    return joined.withColumn("__new", new).withColumn("moved", F.col("__new") != F.col("tier")).withColumn("tier", F.col("__new")).drop("__new", "decision")
+
+
+def write_by_tier(items: DataFrame, path: str) -> None:
+    """One folder for each tier."""
+    items.repartition("tier").write.partitionBy("tier").parquet(path)
+
+
+def fingerprint(table: DataFrame) -> DataFrame:
+    """rows, total: the count and a sum of the rows' hashes, which doesn't depend on their order."""
+    return table.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*sorted(table.columns)).cast("decimal(38,0)")).alias("total"))
+
+
+def copy_verified(table: DataFrame, path: str) -> DataFrame:
+    """Writes the table to another place and reads it again; raises if count or hashes differ."""
+    table.write.parquet(path)
+    again = table.sparkSession.read.parquet(path)
+    if fingerprint(table).first() != fingerprint(again).first():
+        raise ValueError(f"the copy in {path} differs")
+    return again
+
+
 def statistics(table: DataFrame) -> DataFrame:
     """rows, ids, dimensions (distinct), bytes (4 a component), missing vectors."""
     return table.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.count_distinct(F.size("vector")).alias("dimensions"), F.sum(4 * F.size("vector")).alias("bytes"), F.count_if(F.col("vector").isNull()).alias("missing"))

@@ -104,7 +104,23 @@ def r6_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("n").agg(F.count("*").alias("sessions"))
 
 
-FUNCTIONS = (a35_hot_and_cold, a35_runs, a35_reuse, a35_transitions, a36_related, a37_temperature, a38_rates, a39_scores, a40_patterns, a41_tracker_statistics, t11_hottest, t11_migration_candidates, m7_migrations, m11_prefetch, r3_hourly_buckets, r6_sessions)
+def m11_prefetch_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = log(spark, sf_dir).withColumn("key", F.col("event_type"))
+    return A.prefetch_next(typed, "user_id", 7200.0, 2)
+
+
+def m11_prefetch_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of the orders' numbers by customer, as streams."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    steps = o.select((F.col("o_custkey") % 7).alias("stream"), (F.col("o_orderkey") % 5).alias("key"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("event_id"))
+    return A.prefetch_sequence(steps, 2).groupBy("stream", "key", "step", "next").agg(F.count("*").alias("n"))
+
+
+def m11_prefetch_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.prefetch_frequent(log(spark, sf_dir), 10)
+
+
+FUNCTIONS = (m11_prefetch_by_time, m11_prefetch_sequence, m11_prefetch_frequent, a35_hot_and_cold, a35_runs, a35_reuse, a35_transitions, a36_related, a37_temperature, a38_rates, a39_scores, a40_patterns, a41_tracker_statistics, t11_hottest, t11_migration_candidates, m7_migrations, m11_prefetch, r3_hourly_buckets, r6_sessions)
 QUERIES |= {f.__name__: f for f in FUNCTIONS}
 
 ORACLES["a35_hot_and_cold"] = f"{SQL}, o as (select accesses, row_number() over (order by accesses desc) as p, count(*) over () as n from k), e as (select max(accesses) as edge from o where p >= greatest(1, floor(n * 0.2))) select key, accesses, case when accesses >= edge then 'hot' when accesses <= 2 then 'cold' else 'warm' end as heat from k, e"
@@ -125,3 +141,11 @@ ORACLES["t11_migration_candidates"] = f"{SQL} select key, round(abs(temperature
 ORACLES["m7_migrations"] = f"{SQL} select key, case when hours < 1 then 'keep' when temperature > 0.4 then 'promote' when temperature < 0.3 then 'demote' else 'keep' end as decision from temps"
 ORACLES["r3_hourly_buckets"] = "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(*) as n from events group by 1, 2"
 ORACLES["r6_sessions"] = f"{GAPS}, m as (select key, sum(case when gap < 3600 then 0 else 1 end) over (partition by key order by ts, event_id) as run from w), c as (select key, run, count(*) as n from m group by 1, 2) select n, count(*) as sessions from c group by 1"
+ORACLES["m11_prefetch_by_time"] = f"""{SQL}, w as (select event_type as prev, t, lead(event_type, 1) over v as k1, lead(t, 1) over v as t1, lead(event_type, 2) over v as k2, lead(t, 2) over v as t2, lead(event_type, 3) over v as k3, lead(t, 3) over v as t3 from log window v as (partition by user_id order by ts, event_id)),
+l as (select prev, k1 as key, t1 - t as gap from w union all select prev, k2, t2 - t from w union all select prev, k3, t3 - t from w), c as (select prev, key, count(*) as n from l where gap <= 7200 and key <> prev group by 1, 2),
+q as (select *, row_number() over (partition by prev order by n desc, key) as r from c) select prev, key, n from q where r <= 2"""
+ORACLES["m11_prefetch_sequence"] = """with s as (select o_custkey % 7 as stream, o_orderkey % 5 as key, o_orderdate as ts, o_orderkey as event_id from orders), g as (select *, key - lag(key) over (partition by stream order by ts, event_id) as stride from s),
+m as (select *, case when stride = lag(stride) over (partition by stream order by ts, event_id) then 0 else 1 end as new from g), r as (select *, sum(new) over (partition by stream order by ts, event_id rows unbounded preceding) as run from m),
+e as (select stream, run, count(*) as length, arg_max(key, (ts, event_id)) as key, any_value(stride) as stride from r where stride <> 0 group by 1, 2 having count(*) >= 2),
+x as (select stream, key, unnest([1, 2]) as step, stride from e) select stream, key, step, key + step * stride as next, count(*) as n from x group by 1, 2, 3, 4"""
+ORACLES["m11_prefetch_frequent"] = f"{SQL}, c as (select key, count(*) as n from log group by 1), q as (select row_number() over (order by n desc, key) as rank, key, n from c) select * from q where rank <= 10"

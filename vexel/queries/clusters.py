@@ -91,11 +91,10 @@ def a15_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a17_online_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centroids after the vectors 8 to 57, one by one."""
+    """Centroids after all vectors in four micro-batches, by id."""
     table = rows(spark, sf_dir)
-    batch = np.array([r["vector"] for r in table.where("id between 8 and 57").orderBy("id").collect()], float)
-    c = kmeans.update(fixed_centroids(spark, sf_dir), batch)
-    return kmeans.centroid_table(table, c).select("cluster", F.posexplode("centroid").alias("i", "x"))
+    c = kmeans.update_batches(table, fixed_centroids(spark, sf_dir), F.col("id") % 4, 4)
+    return kmeans.centroid_table(table, c).select("cluster", F.posexplode("centroid").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
 def a22_scalar_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,15 +182,25 @@ def a25_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a25_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """i, j, x: the population covariance of the first eight components."""
-    _, _, cov = quantize.moments(rows(spark, sf_dir).withColumn("vector", F.slice("vector", 1, 8)))
-    return spark.createDataFrame([(i, j, round(float(cov[i, j]), 8)) for i in range(8) for j in range(8)], "i int, j int, x double")
+    """i, j, x: the population covariance of all components."""
+    _, _, cov = quantize.moments(rows(spark, sf_dir))
+    n = len(cov)
+    return spark.createDataFrame([(i, j, round(float(cov[i, j]), 8)) for i in range(n) for j in range(n)], "i int, j int, x double")
+
+
+def a25_pca_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components: the sum of their variances is that of the table, their shares make one, and they are at right angles."""
+    table = rows(spark, sf_dir)
+    p = quantize.pca(table, 64)
+    per = table.select(F.posexplode(p.apply("vector")).alias("component", "x")).groupBy("component").agg(F.var_pop("x").alias("v"))
+    angles = float(np.abs(p.matrix @ p.matrix.T - np.eye(64)).max())
+    return per.agg(F.round(F.sum("v"), 6).alias("variance"), F.lit(round(float(p.explained.sum()), 6)).alias("shares"), F.lit(angles < 1e-9).alias("right"))
 
 
 def a26_random_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How squared lengths change under projection to 16 dimensions, on average."""
     p = quantize.random_projection(64, 16)
-    return rows(spark, sf_dir).agg(F.avg(V.dot(p.apply("vector"), p.apply("vector")) / V.dot("vector", "vector")).alias("ratio"))
+    return rows(spark, sf_dir).agg(F.round(F.avg(V.dot(p.apply("vector"), p.apply("vector")) / V.dot("vector", "vector")), 6).alias("ratio"))
 
 
 def a5_soft_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +216,36 @@ def a5_soft_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.agg(F.avg((F.col("prediction") == F.col("cluster")).cast("double")).alias("agreement"), F.avg(F.array_max(vector_to_array("probability"))).alias("probability"))
 
 
-FUNCTIONS = (j7_assign, a1_one_step, a3_weighted_step, a4_inertia, a1_lloyd, a2_mini_batch, a8_list_statistics, a16_validation, a10_random_sample, a11_stratified_sample, a12_reservoir_sample, a13_coreset, a14_sample_size, a15_importance_sample, a17_online_update, a22_scalar_statistics, a23_dimension_variance, z1_scalar_codes, z2_scalar_restored, z3_rowwise_codes, z1_half_precision, z5_product_codes, z6_code_distances, z7_rotated_product_codes, z8_binary_search, z10_savings, a25_pca, a25_covariance, a26_random_projection, a5_soft_clusters)
+def a5_soft_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroids as means weighted by each row's probabilities, here by 1 / (1 + squared distance) to vectors 0 to 7: cluster, i, x."""
+    table, c = rows(spark, sf_dir), fixed_centroids(spark, sf_dir)
+    centers = F.array(*(F.array(*(F.lit(float(x)) for x in v)) for v in c))
+    near = F.transform(centers, lambda m: 1.0 / (1.0 + V.squared_euclidean("vector", m)))
+    soft = table.select("id", "vector", near.alias("near")).select("id", "vector", F.transform("near", lambda x: x / V.total(F.col("near"))).alias("probability"))
+    return kmeans.soft_centroids(soft).withColumn("x", F.round("x", 6))
+
+
+def z4_rounded_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of each vector's codes by round((x - least) * scale), held between 0 and 255."""
+    table = rows(spark, sf_dir)
+    s = quantize.statistics(table).first()
+    codes = quantize.encode_rounded("vector", s["minimum"], 255.0 / (s["maximum"] - s["minimum"]))
+    return table.select("id", F.aggregate(codes, F.lit(0), lambda a, x: a + x).cast("long").alias("total"))
+
+
+def v41_matrix_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as a matrix A: sums of the rows of A, of 2 A, of A + A, A * A, A / 2, min(A, 0), max(A, 0) and A - A, and of the transpose's column."""
+    m = quantize.cells(rows(spark, sf_dir))
+    zero = m.select("i", "j", F.lit(0.0).alias("x"))
+    parts = {"a": m, "scaled": quantize.scaled(m, 2.0), "added": quantize.elementwise(m, m, "add"), "taken": quantize.elementwise(m, m, "subtract"), "product": quantize.elementwise(m, m, "multiply"), "low": quantize.elementwise(m, zero, "min"), "high": quantize.elementwise(m, zero, "max"), "half": quantize.elementwise(m, quantize.elementwise(zero, m, "filled", 2.0), "divide"), "across": quantize.row_sums(quantize.transpose(m))}
+    out = None
+    for name, part in parts.items():
+        one = (part if name == "across" else quantize.row_sums(part)).select(F.lit(name).alias("part"), F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("x", F.coalesce(F.nullif("x", F.lit(0.0)), F.lit(0.0)))
+
+
+FUNCTIONS = (a25_pca_checks, a5_soft_centroids, z4_rounded_codes, v41_matrix_operations, j7_assign, a1_one_step, a3_weighted_step, a4_inertia, a1_lloyd, a2_mini_batch, a8_list_statistics, a16_validation, a10_random_sample, a11_stratified_sample, a12_reservoir_sample, a13_coreset, a14_sample_size, a15_importance_sample, a17_online_update, a22_scalar_statistics, a23_dimension_variance, z1_scalar_codes, z2_scalar_restored, z3_rowwise_codes, z1_half_precision, z5_product_codes, z6_code_distances, z7_rotated_product_codes, z8_binary_search, z10_savings, a25_pca, a25_covariance, a26_random_projection, a5_soft_clusters)
 QUERIES |= {f.__name__: f for f in FUNCTIONS}
 
 CELLS = f"""{MACRO}, cd as (select a.id as id, b.id as cluster, list_distance(a.v, b.v) as distance, row_number() over (partition by a.id order by list_distance(a.v, b.v), b.id) as place from b as a, b where b.id < 8),
@@ -230,4 +268,27 @@ ORACLES["z2_scalar_restored"] = f"{SCALED}, c as (select id, x, (greatest(-128,
 ORACLES["z3_rowwise_codes"] = "with x as (select vec_id as id, cast(unnest(embedding) as double) as x from embeddings), s as (select id, min(x) as low, 255.0 / (max(x) - min(x)) as k from x group by 1) select id, cast(sum(trunc((x - low) * k)) as bigint) as total, round(any_value(low), 6) as low, round(any_value(k), 4) as scale from x join s using (id) group by 1"
 ORACLES["z8_binary_search"] = "with e as (select vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding) > 0 as x from embeddings), d as (select a.vec_id as query_id, b.vec_id as id, count(*) filter (a.x <> b.x) as distance from e a join e b using (i) where a.vec_id < 5 group by 1, 2), r as (select *, row_number() over (partition by query_id order by distance, id) as rank from d) select query_id, rank, id, distance from r where rank <= 10"
 ORACLES["z10_savings"] = "select count(*) as n, count(*) * 256.0 as before, count(*) * 64.0 as after, 4.0 as ratio from embeddings"
-ORACLES["a25_covariance"] = "with x as (select vec_id, generate_subscripts(embedding, 1) as i, cast(unnest(embedding) as double) as x from embeddings) select cast(a.i - 1 as int) as i, cast(b.i - 1 as int) as j, round(covar_pop(a.x, b.x), 8) as x from x a join x b using (vec_id) where a.i <= 8 and b.i <= 8 group by 1, 2"
+ORACLES["a25_covariance"] = "with x as (select vec_id, generate_subscripts(embedding, 1) as i, cast(unnest(embedding) as double) as x from embeddings) select cast(a.i - 1 as int) as i, cast(b.i - 1 as int) as j, round(covar_pop(a.x, b.x), 8) as x from x a join x b using (vec_id) group by 1, 2"
+ORACLES["a25_pca_checks"] = "with x as (select generate_subscripts(embedding, 1) as i, cast(unnest(embedding) as double) as x from embeddings), v as (select i, var_pop(x) as v from x group by 1) select round(sum(v), 6) as variance, 1.0 as shares, true as right from v"
+ORACLES["a5_soft_centroids"] = f"""{MACRO}, n as (select a.id, b.id as cluster, 1 / (1 + pow(list_distance(a.v, b.v), 2)) as w from b as a, b where b.id < 8), p as (select id, cluster, w / sum(w) over (partition by id) as p from n){LONG}
+select cast(cluster as int) as cluster, cast(i as int) as i, round(sum(p * x) / sum(p), 6) as x from p join long using (id) group by 1, 2"""
+ORACLES["z4_rounded_codes"] = "with x as (select vec_id as id, cast(unnest(embedding) as double) as x from embeddings), s as (select 255.0 / (max(x) - min(x)) as k, min(x) as low from x) select id, cast(sum(greatest(0, least(255, round((x - low) * k)))) as bigint) as total from x, s group by 1"
+_M = f"{MACRO}{LONG}"
+_ROWS = {"a": "x", "scaled": "2 * x", "added": "x + x", "taken": "x - x", "product": "x * x", "low": "least(x, 0)", "high": "greatest(x, 0)", "half": "x / 2"}
+ORACLES["v41_matrix_operations"] = _M + " union all ".join(f" select '{n}' as part, id as i, coalesce(nullif(round(sum({e}), 6), 0), 0) as x from long group by 2" for n, e in _ROWS.items()) + " union all select 'across', cast(i as bigint), coalesce(nullif(round(sum(x), 6), 0), 0) from long group by 2"
+#: Four micro-batches, one after the other.
+_BATCHES = "".join(f""", g{b} as (select l.id, c.cluster, row_number() over (partition by l.id order by list_distance(l.v, c.v), c.cluster) as place from b l, c{b} c where l.id % 4 = {b}),
+s{b} as (select g.cluster, long.i, avg(long.x) as mean, count(*) as n from g{b} g join long on long.id = g.id where g.place = 1 group by 1, 2),
+x{b} as (select c.cluster, unnest(range(64)) as i, unnest(c.v) as x from c{b} c), c{b + 1} as (select x.cluster, list(x.x + (1 - pow(0.95, coalesce(s.n, 0))) * (coalesce(s.mean, x.x) - x.x) order by x.i) as v from x{b} x left join s{b} s on s.cluster = x.cluster and s.i = x.i group by 1)""" for b in range(4))
+ORACLES["a17_online_update"] = f"{MACRO}{LONG}, c0 as (select cast(id as int) as cluster, v from b where id < 8){_BATCHES} select cluster, cast(unnest(range(64)) as int) as i, round(unnest(v), 6) as x from c4"
+ORACLES["a12_reservoir_sample"] = "select vec_id as id from embeddings order by cast('0x' || substr(md5('1:' || vec_id), 1, 12) as bigint), vec_id limit 100"
+_FAR = f"""{MACRO}, p1 as (select min(id) as id from b), d1 as (select b.id, list_distance(b.v, c.v) as d from b, b c where c.id = (select id from p1))""" + "".join(f", p{i} as (select id from d{i - 1} order by d desc, id limit 1), d{i} as (select b.id, least(d{i - 1}.d, list_distance(b.v, c.v)) as d from b join d{i - 1} on d{i - 1}.id = b.id, b c where c.id = (select id from p{i}))" for i in range(2, 7))
+ORACLES["a13_coreset"] = _FAR + " " + " union all ".join(f"select id from p{i}" for i in range(1, 7))
+ORACLES["a14_sample_size"] = "select count(*) as n, cast(least(count(*), 100) as int) as size, cast(least(4096, greatest(16, round_even(sqrt(count(*)), 0))) as int) as lists from embeddings"
+ORACLES["a15_importance_sample"] = f"""with w as (select vec_id as id, 1.0 + label as w, cast('0x' || substr(md5('1:' || vec_id), 1, 12) as bigint) as o from embeddings), t as (select sum(w) as total from w),
+e as (select id, w, sum(w) over (order by o, id) as e from w) select id, cast(floor(e / total * 50 + {float(np.random.default_rng(1).random())!r}) - floor((e - w) / total * 50 + {float(np.random.default_rng(1).random())!r}) as int) as draws from e, t where floor(e / total * 50 + {float(np.random.default_rng(1).random())!r}) > floor((e - w) / total * 50 + {float(np.random.default_rng(1).random())!r})"""
+#: A float's step in half precision is 2^(exponent - 10), 2^-24 at least.
+ORACLES["z1_half_precision"] = "with x as (select vec_id as id, cast(unnest(embedding) as double) as x from embeddings), s as (select id, x, case when x = 0 then 1 else pow(2, greatest(-24, floor(log2(abs(x))) - 10)) end as step from x) select id, round(avg(pow(x - round_even(x / step, 0) * step, 2)) * 1e9, 3) as mse from s group by 1"
+ORACLES["z6_code_distances"] = "select 0.0 as difference, 5 * count(*) as pairs from embeddings"
+_PROJECTED = ", ".join(f"({i}, {j}, {float(x)!r})" for (i, j), x in np.ndenumerate(quantize.random_projection(64, 16).matrix))
+ORACLES["a26_random_projection"] = f"{MACRO}{LONG}, m as (select * from (values {_PROJECTED}) as t(k, i, y)), p as (select id, k, sum(x * y) as p from long join m using (i) group by 1, 2), q as (select id, sum(p * p) as q from p group by 1) select round(avg(q / (n * n)), 6) as ratio from q join b using (id)"

@@ -198,7 +198,77 @@ def r1_stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("hour").cast("string").alias("hour"), "key", "n")
 
 
-FUNCTIONS = (s1_json_round_trip, s3_csv_round_trip, s4_parquet_round_trip, s11_base64_rows, s13_filtered_scan, s14_lookup, s15_prefix_scan, s16_contains, s20_query_input, s21_result_output, m1_upsert, m2_update, m3_delete, m5_compact, m4_bulk_load, s18_snapshot, m1_validation, m6_tiers, a32_tier_statistics, m12_integrity, a31_statistics, a42_magnitude_histogram, m13_partitions, r1_stream_batches)
+def _write_array(table: DataFrame, path: str) -> None:
+    """One file with one JSON array, row by row; its last object is empty."""
+    line = lambda text: table.sparkSession.createDataFrame([(text,)], "value string")
+    body = table.select(F.concat(F.to_json(F.struct("id", "vector")), F.lit(",")).alias("value"))
+    line("[").union(body).union(line("{}]")).coalesce(1).write.text(path)
+
+
+def s1_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file that holds one array, without extension, of which some rows have no id, no vector, or a short one: good rows and errors."""
+    i = F.col("id").cast("long")
+    made = vectors(spark, sf_dir).select(F.when(i % 17 != 0, F.col("id")).alias("id"), F.when(i % 13 == 0, F.lit(None)).when(i % 11 == 0, F.slice("vector", 1, 3)).otherwise(F.col("vector")).alias("vector"))
+    path = scratch(spark)
+    _write_array(made, path)
+    good, errors = sources.import_rows(sources.read(spark, path), 64)
+    return good.agg(F.lit("good").alias("error"), F.count("*").alias("n")).unionByName(errors)
+
+
+def s6_sniffed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three text formats, read from folders whose names say nothing."""
+    table, out = vectors(spark, sf_dir), None
+    paths = {"csv": scratch(spark), "jsonl": scratch(spark), "json": scratch(spark)}
+    sources.write_csv(table, paths["csv"], 64, ["label"])
+    table.select(F.to_json(F.struct("id", "vector")).alias("value")).write.text(paths["jsonl"])
+    _write_array(table, paths["json"])
+    for kind, path in paths.items():
+        found = sources.format_of(path, sources.first_character(spark, path))
+        row = sources.read(spark, path).agg(F.lit(kind).alias("written"), F.lit(found).alias("found"), F.count("*").alias("n"), F.round(F.sum(V.total("vector")), 4).alias("total"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def s20_query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries from a file of lines, bare or named, searched."""
+    from vexel.operators import knn
+
+    table = rows(spark, sf_dir)
+    path = scratch(spark)
+    asked = table.where("id < 20")
+    asked.select(F.when(F.col("id") % 2 == 0, F.to_json(F.struct(F.concat(F.lit("q"), "id").alias("id"), "vector"))).otherwise(F.to_json("vector")).alias("value")).coalesce(1).write.text(path)
+    q = sources.read_queries(spark, path)
+    near = knn.search(table, q, 1)
+    return near.select(F.col("query_id").startswith("q").alias("named"), "id", "rank")
+
+
+def m8_migration_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items moved by decisions, written by tier and read again: how many of each tier, and how many moved there."""
+    t = S.tiers(items(spark, sf_dir), 8_000_000)
+    decisions = t.select("id", F.when(F.col("id") % 5 == 0, "promote").when(F.col("id") % 7 == 0, "demote").otherwise("keep").alias("decision"))
+    path = scratch(spark)
+    S.write_by_tier(S.migrated(t, decisions), path)
+    return spark.read.parquet(path).groupBy("tier").agg(F.count("*").alias("items"), F.count_if("moved").alias("moved"))
+
+
+def n9_verified_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(S.copy_verified(vectors(spark, sf_dir), scratch(spark)))
+
+
+def r4_online_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroids after all vectors came as a stream in one batch: half of the way to the batch's means."""
+    from vexel.queries.searching import fixed_centroids
+
+    source, state = scratch(spark), scratch(spark)
+    rows(spark, sf_dir).select("id", "vector").write.parquet(source)
+    online = streaming.OnlineCentroids(fixed_centroids(spark, sf_dir))
+    streaming.each_batch(streaming.read_stream(spark, source, "id long, vector array<float>", 1000), online, state).awaitTermination()
+    from vexel.operators import kmeans
+
+    return kmeans.centroid_table(rows(spark, sf_dir), online.centroids).select("cluster", F.posexplode("centroid").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+FUNCTIONS = (s1_json_array, s6_sniffed_formats, s20_query_batch, m8_migration_cycle, n9_verified_copy, r4_online_centroids, s1_json_round_trip, s3_csv_round_trip, s4_parquet_round_trip, s11_base64_rows, s13_filtered_scan, s14_lookup, s15_prefix_scan, s16_contains, s20_query_input, s21_result_output, m1_upsert, m2_update, m3_delete, m5_compact, m4_bulk_load, s18_snapshot, m1_validation, m6_tiers, a32_tier_statistics, m12_integrity, a31_statistics, a42_magnitude_histogram, m13_partitions, r1_stream_batches)
 QUERIES |= {f.__name__: f for f in FUNCTIONS}
 for _n in ("s1_json_round_trip", "s3_csv_round_trip", "s4_parquet_round_trip", "s11_base64_rows", "s18_snapshot"):
     ORACLES[_n] = DIGEST_SQL
@@ -226,3 +296,12 @@ ORACLES["a31_statistics"] = "select count(*) as rows, count(distinct vec_id) as
 ORACLES["a42_magnitude_histogram"] = "with x as (select sqrt(list_sum(list_transform(cast(embedding[1:16] as double[]), lambda y: y*y))) as m from embeddings) select cast(case when m < 0 then 0 when m >= 1 then 21 else floor(m * 20) + 1 end as bigint) as bin, count(*) as n from x group by 1"
 ORACLES["m13_partitions"] = "select cast(o_totalprice >= 1e5 as int) + cast(o_totalprice >= 2e5 as int) + cast(o_totalprice >= 3e5 as int) as by_range, o_orderkey % 3 as by_modulo, cast(floor(hour(o_orderdate) * 4 / 24) as int) as by_hour, count(*) as n from orders group by 1, 2, 3"
 ORACLES["r1_stream_batches"] = "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type as key, count(*) as n from events group by 1, 2"
+ORACLES["s1_json_array"] = "select error, count(*) as n from (select case when vec_id % 17 = 0 then 'no id' when vec_id % 13 = 0 then 'no vector' when vec_id % 11 = 0 then 'wrong dimension' else 'good' end as error from embeddings union all select 'no id') group by 1"
+ORACLES["s6_sniffed_formats"] = "with t as (select count(*) as n, round(sum(list_sum(cast(embedding as double[]))), 4) as total from embeddings) select kind as written, kind as found, n + cast(kind = 'json' as int) as n, total from t, (values ('csv'), ('jsonl'), ('json')) as k(kind)"
+ORACLES["s20_query_batch"] = "select vec_id % 2 = 0 as named, vec_id as id, 1 as rank from embeddings where vec_id < 20"
+ORACLES["m8_migration_cycle"] = f"""{ITEMS}, d as (select *, case when id % 5 = 0 then case tier when 'archive' then 'ssd' when 'ssd' then 'memory' else tier end when id % 7 = 0 then case tier when 'memory' then 'ssd' when 'ssd' then 'archive' else tier end else tier end as new from t)
+select new as tier, count(*) as items, count(*) filter (new <> tier) as moved from d group by 1"""
+ORACLES["n9_verified_copy"] = DIGEST_SQL
+ORACLES["r4_online_centroids"] = """with b as (select vec_id as id, cast(embedding as double[]) as v from embeddings), cd as (select a.id as id, b.id as cluster, row_number() over (partition by a.id order by list_distance(a.v, b.v), b.id) as place from b as a, b where b.id < 8),
+long as (select id, generate_subscripts(v, 1) - 1 as i, unnest(v) as x from b), m as (select cluster, i, avg(x) as mean from cd join long using (id) where place = 1 group by 1, 2)
+select cast(m.cluster as int) as cluster, m.i, round((mean + long.x) / 2, 6) as x from m join long on long.id = m.cluster and long.i = m.i"""

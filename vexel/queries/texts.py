@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,7 +116,9 @@ def l15_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l16_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rag.assemble(spark.read.parquet(f"{sf_dir}/conversations.parquet"), ranked(spark, sf_dir), 3000)
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    few = ranked(spark, sf_dir).where("id % 10 < 4").select("query_id", "id", (F.col("tokens") % 200).alias("tokens"))
+    return rag.assemble(turns, ranked(spark, sf_dir), 3000, few)
 
 
 def l18_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,6 +185,62 @@ ORACLES["l18_figures"] = GREEDY.format(ranked=RANKED, order="score desc", ok=f"(
 select r.query_id, r.retrieved, coalesce(included, 0) as included, round(relevance, 6) as relevance, coalesce(sources, 0) as sources from (select query_id, count(*) as retrieved from c group by 1) r left join i on i.query_id = r.query_id"""
 ORACLES["l16_assembly"] = f"""{RANKED}, t as (select conv_id, turn, cast(floor((length(coalesce(text, '')) + 3) / 4) as bigint) as tokens from conversations),
 h as (select *, sum(tokens) over (partition by conv_id order by turn desc) as used from t), p as (select * from h where used <= 1000), spent as (select conv_id, max(used) as spent from p group by 1),
+e as (select query_id, id, tokens % 200 as tokens, sum(tokens % 200) over (partition by query_id order by id) as used from c where id % 10 < 4), x as (select e.* from e left join spent s on s.conv_id = e.query_id where used <= least(500, floor((3000 - coalesce(spent, 0)) / 4))),
+both as (select conv_id as query_id, tokens from p union all select query_id, tokens from x), taken as (select query_id, sum(tokens) as spent from both group by 1),
 k as (select c.*, sum(tokens) over (partition by query_id order by score desc, id) as upto from c)
-select conv_id as query_id, 'history' as kind, cast(turn as varchar) as id, tokens from p
-union all select k.query_id, 'chunk', cast(k.id as varchar), k.tokens from k left join spent s on s.conv_id = k.query_id where upto <= 3000 - coalesce(spent, 0)"""
+select conv_id as query_id, 'history' as kind, cast(turn as varchar) as id, tokens from p union all select query_id, 'example', cast(id as varchar), tokens from x
+union all select k.query_id, 'chunk', cast(k.id as varchar), k.tokens from k left join taken s on s.query_id = k.query_id where upto <= 3000 - coalesce(spent, 0)"""
+_STAGE = """o{n} as (select *, row_number() over (partition by query_id order by {order}, id) as k from {src}), g{n} as (with recursive s(query_id, k, used, docs, n, id, took) as (
+  select query_id, cast(0 as bigint), cast(0 as bigint), cast([] as bigint[]), cast(0 as bigint), cast(null as bigint), false from (select distinct query_id from o{n})
+  union all select s.query_id, o.k, case when {ok} then s.used + o.tokens else s.used end, case when {ok} then list_append(s.docs, o.doc_id) else s.docs end, case when {ok} then s.n + 1 else s.n end, o.id, {ok} from s join o{n} o on o.query_id = s.query_id and o.k = s.k + 1) select query_id, id from s where took),
+left{n} as (select * from {src} anti join g{n} using (query_id, id))"""
+_OK = FITS.format(budget=1000)
+ORACLES["t10_mixed_selection"] = RANKED + ", " + ", ".join(_STAGE.format(n=n, order=order, src=src, ok=f"({_OK} and {extra})") for n, order, src, extra in ((1, "score desc", "c", "true"), (2, "score desc", "left1", "(s.n < 3 or not list_contains(s.docs, o.doc_id))"), (3, "ts desc", "left2", "true"))) + " select query_id, id, 'top' as part from g1 union all select query_id, id, 'diverse' from g2 union all select query_id, id, 'recent' from g3"
+ORACLES["l13_near_duplicates"] = RANKED + r""", w as (select query_id, id, score, list_distinct(list_filter(regexp_split_to_array(lower(trim(content)), '\s+'), lambda x: x <> '')) as w from c), o as (select *, row_number() over (partition by query_id order by score desc, id) as k from w),
+g as (with recursive s(query_id, k, kept, id, took) as (select query_id, cast(0 as bigint), cast([] as varchar[][]), cast(null as bigint), false from (select distinct query_id from o)
+  union all select query_id, k, case when ok then list_append(kept, w) else kept end, id, ok from (select s.query_id, o.k, s.kept, o.w, o.id, len(list_filter(s.kept, lambda x: case when len(list_distinct(list_concat(x, o.w))) = 0 then 1 else len(list_intersect(x, o.w)) / len(list_distinct(list_concat(x, o.w))) end > 0.9)) = 0 as ok from s join o on o.query_id = s.query_id and o.k = s.k + 1)) select * from s)
+select query_id, id from g where took"""
+
+
+def l1_chunks_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By strategy: documents with chunks, whose chunks are all parts of the text at their places, none too long, numbered without gaps."""
+    out = None
+    for strategy in ("fixed", "paragraphs", "recursive"):
+        d = docs(spark, sf_dir)
+        c = X.chunk(d, strategy).join(d.select("doc_id", "text"), "doc_id")
+        good = (F.substring("text", F.col("start") + 1, F.length("content")) == F.col("content")) & (F.length("content") <= 1000) & (F.col("end") == F.col("start") + F.length("content"))
+        each = c.groupBy("doc_id").agg(F.min((good).cast("int")).alias("good"), (F.count_distinct("chunk") == F.max("chunks")).cast("int").alias("numbered"), F.min("start").alias("start"))
+        row = each.agg(F.lit(strategy).alias("strategy"), F.count("*").alias("documents"), F.sum(F.col("good") * F.col("numbered")).alias("sound"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def l9_distinct_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's texts, embedded once each, with an embedder of our own: letters a to z counted."""
+    d = docs(spark, sf_dir).select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    letters = lambda texts: np.array([[t.count(chr(97 + i)) for i in range(26)] for t in texts], float)
+    return X.embed_distinct(d, "source", letters).select("doc_id", F.element_at("vector", 19).cast("long").alias("s"), F.element_at("vector", 3).cast("long").alias("c"))
+
+
+def e4_own_chunker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 500 characters by a chunker of our own, and tokens by an estimator of our own."""
+    pieces = lambda text, longest, overlap, shortest: [(i, text[i : i + longest]) for i in range(0, len(text), longest)]
+    c = X.chunk(docs(spark, sf_dir), pieces, 500, tokens=lambda t: F.length(t).cast("long") * 2)
+    return c.select("doc_id", "chunk", "chunks", "start", F.length("content").alias("n"), "tokens")
+
+
+def l7_positional_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of the embeddings of all texts sum to one; with the places of words, order counts: texts whose reversal has another embedding."""
+    d = docs(spark, sf_dir).where("text rlike '[a-zA-Z]'")
+    turned = F.array_join(F.reverse(F.split("text", r"\s+")), " ")
+    v = d.select(X.hashed_embedding("text", 64, 0.1).alias("v"), X.hashed_embedding("text").alias("plain"), X.hashed_embedding(turned).alias("turned"))
+    one = lambda c: F.abs(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x) - 1) < 1e-9
+    return v.agg(F.count("*").alias("documents"), F.count_if(one("v") & one("plain")).alias("unit"), F.count_if(F.aggregate(F.zip_with("plain", "turned", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x) < 1e-9).alias("same"))
+
+
+MORE = (l1_chunks_of_all, l9_distinct_embeddings, e4_own_chunker, l7_positional_embedding)
+QUERIES |= {f.__name__: f for f in MORE}
+ORACLES["l1_chunks_of_all"] = "select s as strategy, count(*) filter (s = 'fixed' or regexp_matches(text, '\\S') or s = 'recursive') as documents, count(*) filter (s = 'fixed' or regexp_matches(text, '\\S') or s = 'recursive') as sound from documents, (values ('fixed'), ('paragraphs'), ('recursive')) as t(s) where length(text) > 0 group by 1"
+ORACLES["l9_distinct_embeddings"] = "select doc_id, length(coalesce(source, '')) - length(replace(coalesce(source, ''), 's', '')) as s, length(coalesce(source, '')) - length(replace(coalesce(source, ''), 'c', '')) as c from documents"
+ORACLES["e4_own_chunker"] = "with d as (select doc_id, text, cast(ceil(length(text) / 500.0) as int) as chunks from documents where length(text) > 0), x as (select *, unnest(range(chunks)) as chunk from d) select doc_id, cast(chunk as int) as chunk, chunks, cast(chunk * 500 as int) as start, cast(least(500, length(text) - chunk * 500) as int) as n, 2 * least(500, length(text) - chunk * 500) as tokens from x"
+ORACLES["l7_positional_embedding"] = "select count(*) as documents, count(*) as unit, count(*) as same from documents where regexp_matches(text, '[a-zA-Z]')"

@@ -127,24 +127,36 @@ def v15_sinkhorn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _transport(spark, sf_dir, "sinkhorn")
 
 
+def eighths(v: str, n: int = 8) -> Column:
+    """The sums of n equal parts of 64 components."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: V.total(F.slice(F.col(v), k * (64 // n) + 1, 64 // n)))
+
+
 def _transport(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Over the first eight components, whose ground distance is that of their places."""
+    """Over the sums of eight parts of the components, whose ground distance is that of their places."""
     import numpy as np
 
     cost = np.abs(np.arange(8)[:, None] - np.arange(8)[None, :]) / 8.0
     run = quantize.greedy_transport(cost) if kind == "greedy" else quantize.sinkhorn(cost)
-    cut = _against(spark, sf_dir).select("query_id", "vec_id", F.slice("query", 1, 8).alias("a"), F.slice("vector", 1, 8).alias("b"))
+    cut = _against(spark, sf_dir).select("query_id", "vec_id", eighths("query").alias("a"), eighths("vector").alias("b"))
     return cut.select("query_id", "vec_id", six(run("a", "b")).alias("value"))
 
 
+def v12_mahalanobis_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the sums of the vectors' two halves, whose covariance SQL can invert."""
+    halves = embeddings(spark, sf_dir).select("vec_id", eighths("vector", 2).alias("vector"))
+    asked = halves.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    return halves.crossJoin(F.broadcast(asked)).select("query_id", "vec_id", six(V.mahalanobis("query", "vector", quantize.inverse_covariance(halves))).alias("value"))
+
+
 def v41_gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The product of the first ten vectors with their transpose, by cells."""
-    left = quantize.cells(embeddings(spark, sf_dir).where("vec_id < 10").select(F.col("vec_id").alias("id"), "vector"))
-    right = left.select(F.col("j").alias("i"), F.col("i").alias("j"), "x")
+    """The product of all vectors with the transpose of those whose id is divisible by 50, by cells."""
+    left = quantize.cells(embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), "vector"))
+    right = quantize.transpose(left.where("i % 50 = 0"))
     return quantize.multiply(left, right).select("i", "j", six(F.col("x")).alias("x"))
 
 
-QUERIES |= {f.__name__: f for f in (v12_mahalanobis, v13_wasserstein, v14_greedy_transport, v15_sinkhorn, v41_gram_matrix)}
+QUERIES |= {f.__name__: f for f in (v12_mahalanobis, v12_mahalanobis_halves, v13_wasserstein, v14_greedy_transport, v15_sinkhorn, v41_gram_matrix)}
 ORACLES["v13_wasserstein"] = """
 with e as (select vec_id, generate_subscripts(embedding, 1) as i, cast(unnest(embedding) as double) as x from embeddings),
 m as (select vec_id, least(min(x), 0) as low, count(*) as n, sum(x) as whole from e group by 1),
@@ -152,5 +164,20 @@ p as (select vec_id, i, (x - low) / (whole - n * low) as p from e join m using (
 d as (select a.vec_id as query_id, b.vec_id, a.i, sum(a.p - b.p) over (partition by a.vec_id, b.vec_id order by a.i) as run from p a join p b using (i) where a.vec_id < 3)
 select query_id, vec_id, round(sum(abs(run)), 6) as value from d group by 1, 2"""
 ORACLES["v41_gram_matrix"] = """
-with e as (select vec_id, generate_subscripts(embedding, 1) as i, cast(unnest(embedding) as double) as x from embeddings where vec_id < 10)
-select a.vec_id as i, b.vec_id as j, round(sum(a.x * b.x), 6) as x from e a join e b using (i) group by 1, 2"""
+with e as (select vec_id, generate_subscripts(embedding, 1) as i, cast(unnest(embedding) as double) as x from embeddings)
+select a.vec_id as i, b.vec_id as j, coalesce(nullif(round(sum(a.x * b.x), 6), 0), 0) as x from e a join e b using (i) where b.vec_id % 50 = 0 group by 1, 2"""
+
+_PARTS = "with e as (select vec_id, generate_subscripts(embedding, 1) - 1 as i, cast(unnest(embedding) as double) as x from embeddings), s as (select vec_id, i // {w} as k, sum(x) as x from e group by 1, 2)"
+ORACLES["v12_mahalanobis_halves"] = _PARTS.format(w=32) + """, h as (select a.vec_id, a.x as x, b.x as y from s a join s b using (vec_id) where a.k = 0 and b.k = 1), c as (select var_pop(x) as a, covar_pop(x, y) as b, var_pop(y) as d from h),
+g as (select p.vec_id as query_id, q.vec_id, p.x - q.x as x, p.y - q.y as y from h p, h q where p.vec_id < 3) select query_id, vec_id, round(sqrt(greatest(0, (d * x * x - 2 * b * x * y + a * y * y) / (a * d - b * b))), 6) as value from g, c"""
+_SHARES = _PARTS.format(w=8) + """, low as (select vec_id, least(0, min(x)) as low from s group by 1), t as (select vec_id, k, x - low + {least} as x from s join low using (vec_id)), u as (select vec_id, sum(x) as total from t group by 1),
+p as (select vec_id, list(x / case when total > 0 then total else 1 end order by k) as p from t join u using (vec_id) group by 1), pairs as (select a.vec_id as query_id, b.vec_id, a.p as p, b.p as q from p a, p b where a.vec_id < 3)"""
+ORACLES["v14_greedy_transport"] = "with recursive " + _SHARES.format(least=0)[5:] + """, edges as (select row_number() over (order by abs(i - j), i, j) as k, i, j, abs(i - j) / 8.0 as c from range(1, 9) a(i), range(1, 9) b(j)),
+g as (select query_id, vec_id, cast(1 as bigint) as k, p, q, cast(0 as double) as spent from pairs union all
+  select query_id, vec_id, g.k + 1, list_transform(p, lambda x, n: case when n = e.i then x - least(p[e.i], q[e.j]) else x end), list_transform(q, lambda x, n: case when n = e.j then x - least(p[e.i], q[e.j]) else x end), spent + c * least(p[e.i], q[e.j]) from g join edges e on e.k = g.k)
+select query_id, vec_id, round(spent, 6) as value from g where k = 65"""
+_KERNEL = "[" + ", ".join("[" + ", ".join(f"exp(-{abs(i - j) / 8.0!r} / 0.1)" for j in range(8)) + "]" for i in range(8)) + "]"
+_COSTED = "[" + ", ".join("[" + ", ".join(f"exp(-{abs(i - j) / 8.0!r} / 0.1) * {abs(i - j) / 8.0!r}" for j in range(8)) + "]" for i in range(8)) + "]"
+ORACLES["v15_sinkhorn"] = "with recursive " + _SHARES.format(least="1e-12")[5:] + f""", kernel as (select {_KERNEL} as m, {_COSTED} as mc), g as (select query_id, vec_id, 0 as n, p, q, list_transform(p, lambda x: cast(1 as double)) as u, list_transform(p, lambda x: cast(1 as double)) as w from pairs union all
+  select query_id, vec_id, n + 1, p, q, list_transform(list_zip(p, list_transform(m, lambda r: list_inner_product(r, nw))), lambda z: z[1] / z[2]), nw from (select g.*, m, list_transform(list_zip(q, list_transform(m, lambda r: list_inner_product(r, u))), lambda z: z[1] / z[2]) as nw from g, kernel where n < 50))
+select query_id, vec_id, round(list_inner_product(u, list_transform(mc, lambda r: list_inner_product(r, w))), 6) as value from g, kernel where n = 50"""

@@ -38,8 +38,17 @@ def read_csv(spark: SparkSession, path: str, id_col: str = "id", prefix: str = "
     return rows.select(F.col(id_col).alias("id"), F.array(*(F.col(c).try_cast("double") for c in dims)).alias("vector"), meta.alias("metadata"))
 
 
+def first_character(spark: SparkSession, path: str) -> str:
+    """The first character that isn't white space, from the start of one file."""
+    head = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.trim("value"), 1, 1).alias("c")).first()
+    return head["c"] if head else ""
+
+
 def read(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    kind = format_of(path)
+    """By extension, else by the first character."""
+    kind = format_of(path, default="")
+    if not kind:
+        kind = format_of(path, first_character(spark, path))
     if kind == "hdf5":
         raise ValueError("HDF5 isn't supported")
     if kind == "parquet":
@@ -47,12 +56,34 @@ def read(spark: SparkSession, path: str, **options: object) -> DataFrame:
     return read_csv(spark, path, **options) if kind == "csv" else read_json(spark, path, lines=kind == "jsonl", **options)  # type: ignore[arg-type]
 
 
+def import_rows(rows: DataFrame, dimension: int, check_dimension: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The good rows of an import, and error, n: how many rows have no id, no vector, or one of another dimension."""
+    wrong = (F.size("vector") != dimension) if check_dimension else F.lit(False)
+    error = F.when(F.col("id").isNull() | (F.trim(F.col("id").cast("string")) == ""), "no id").when(F.col("vector").isNull() | F.exists("vector", lambda x: x.isNull()), "no vector").when(wrong, "wrong dimension")
+    marked = rows.withColumn("error", error)
+    return marked.where("error is null").drop("error"), marked.where("error is not null").groupBy("error").agg(F.count("*").alias("n"))
+
+
 def write_json(rows: DataFrame, path: str, vectors: bool = True, metadata: bool = True, gzip: bool = False) -> dict[str, object]:
     """One object a line; returns the manifest: version, dimensions, count."""
     keep = [c for c in rows.columns if (vectors or c != "vector") and (metadata or c != "metadata")]
     rows.select(*keep).write.mode("overwrite").option("compression", "gzip" if gzip else "none").json(path)
     size = rows.select(F.max(F.size("vector")).alias("d"), F.count("*").alias("n")).first()
-    return {"version": 1, "dimensions": size["d"], "count": size["n"]}
+    manifest = {"version": 1, "dimensions": size["d"], "count": size["n"]}
+    rows.sparkSession.createDataFrame([(1, size["d"], size["n"])], "version int, dimensions int, count long").coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}.manifest")
+    return manifest
+
+
+def read_queries(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """query_id, query from a file: a bare array or an object with vector and id a line, or one JSON value for the whole file.
+
+    Queries without id are named by their order of reading.
+    """
+    rows = spark.read.text(path, wholetext=not lines).where(F.trim("value") != "")
+    bare, named = F.from_json("value", "array<double>"), F.from_json("value", "id string, vector array<double>")
+    numbered = rows.withColumn("__n", F.monotonically_increasing_id()).select("__n", bare.alias("bare"), named.alias("named"))
+    vector = F.when(F.size("named.vector") > 0, F.col("named.vector")).otherwise(F.col("bare"))
+    return numbered.select(F.coalesce("named.id", F.col("__n").cast("string")).alias("query_id"), vector.alias("query")).where("query is not null")
 
 
 def write_csv(rows: DataFrame, path: str, dimension: int, keys: list[str] | None = None, gzip: bool = False) -> None:
@@ -81,4 +112,4 @@ def base64_row(columns: list[str]) -> Column:
     return F.base64(F.to_json(F.struct(*columns)).cast("binary"))
 
 
-__all__ = ["format_of", "read", "read_csv", "read_json", "write_csv", "write_json", "parse_queries", "result_table", "base64_row"]
+__all__ = ["format_of", "first_character", "import_rows", "read", "read_queries", "read_csv", "read_json", "write_csv", "write_json", "parse_queries", "result_table", "base64_row"]
