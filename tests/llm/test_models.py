@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vexel.llm import katz, katz_corpus, lang_gru, queries, toxicity
+from vexel.llm import katz, lang_gru, queries, toxicity
 from vexel.llm.session import held_out
 
 
@@ -82,8 +82,9 @@ def test_katz_figures_equal_plain_counts(spark, hard):
     rows = docs.collect()
     counts = Counter(t for r in rows if not r["held_out"] for t in tokens_of(r["text"]))
     total, distinct = sum(counts.values()), len(counts)
-    model, words = katz.train(docs.where("not held_out"))
-    got = katz.score(docs, model, words).collect()
+    got = katz.learn_and_score(docs, ~F.col("held_out"))
+    assert got.columns == ["doc_id", "held_out", *katz.RESULTS]
+    got = got.collect()
     assert len(got) == len(rows)
     texts = {r["doc_id"]: r["text"] for r in rows}
     for r in got:
@@ -100,28 +101,23 @@ def random_docs(spark, n, seed, size=60, zipf=200):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-@pytest.mark.parametrize("share", [1e-6, 2e-3])
-def test_probabilities_add_up_to_one_in_every_context(spark, share):
-    model, words = katz.train(random_docs(spark, 120, 1), share=share)
-    hashes = np.array([r["word"] for r in words.collect()], np.int64).view(np.uint64)
-    counts = {r["word"]: r["c"] for r in words.collect()}
-    known = model.indexes[0].find(hashes)
-    rng = np.random.default_rng(0)
-    whole = []
-    for length in (0, 1, 2):
-        for _ in range(12):
-            context = rng.choice(hashes, length)
-            mass = 0.0
-            for h, i in zip(hashes, known, strict=True):
-                seq = np.append(model.indexes[0].find(context), i)
-                last = model.log_probs(seq, np.array([0, len(seq)]))[-1]
-                if i < 0:
-                    last += math.log10(model.word_prob(np.array([counts[h.view(np.int64)]]))[0])
-                mass += 10**last
-            seq = np.append(model.indexes[0].find(context), -1)
-            mass += 10 ** (model.log_probs(seq, np.array([0, len(seq)]))[-1] + math.log10(model.unknown))
-            whole.append(mass)
-    assert np.allclose(whole, 1.0)
+def test_probabilities_add_up_to_one_in_every_context(spark):
+    """Of texts that differ in their last word alone, the scores' differences are those of the last word's probability, over all events."""
+    train = [(i, r["text"], True) for i, r in enumerate(random_docs(spark, 120, 1, 30, 40).collect())]
+    events = sorted({w for _, t, _ in train for w in t.split()} | {"never-seen"})
+    contexts = ["", "w1", "a b", "w1 w1", "w2 never-seen", "c d", "d a", "w3 w1"]
+    asked = [(1000 + 100 * i + j, f"{c} {w}".strip(), False) for i, c in enumerate(contexts) for j, w in enumerate(events)]
+    asked += [(9000 + i, c, False) for i, c in enumerate(contexts)]
+    table = spark.createDataFrame(train + asked, "doc_id long, text string, learn boolean")
+    prob = plain_katz([t for _, t, _ in train])
+    for r in katz.learn_and_score(table, F.col("learn"), block=100, part_bytes=200).collect():
+        if r["doc_id"] < 1000:
+            continue
+        assert r["score"] == pytest.approx(prob(dict((d, t) for d, t, _ in asked)[r["doc_id"]]))
+    # The plain model's own sums, with the end and one unknown word as events.
+    for c in contexts:
+        head = tuple(c.encode().split())[-2:]
+        assert sum(prob.of((*head, w)) for w in [*(e.encode() for e in events), None]) == pytest.approx(1.0)
 
 
 def plain_katz(train, order=3, k=5):
@@ -163,7 +159,11 @@ def plain_katz(train, order=3, k=5):
             return share(n, g) / size
         return (1 - sum(share(n, x) for x in seen) / size) / (1 - sum(prob(x[1:]) for x in seen)) * prob(g[1:])
 
-    return lambda t: sum(math.log10(prob(tuple(w[max(0, i - order + 1) : i + 1]))) for w in [tokens(t)] for i in range(len(w)))
+    def score(t):
+        return sum(math.log10(prob(tuple(w[max(0, i - order + 1) : i + 1]))) for w in [tokens(t)] for i in range(len(w)))
+
+    score.of, score.discounts = prob, ds
+    return score
 
 
 @pytest.mark.parametrize("of", ["words", "phrases"])
@@ -174,49 +174,30 @@ def test_scores_equal_plain_katz(spark, of):
     draw = (lambda: " ".join(f"w{min(3000, int(x))}" for x in 20 * rnd.pareto(0.9, rnd.integers(0, 60)))) if of == "words" else (lambda: " ".join(phrases[min(1999, int(x))] for x in 30 * rnd.pareto(0.9, rnd.integers(0, 15))))
     texts = [draw() for _ in range(400)] + ["never w0 w1 seen w0 w0 w0", "", "W0 w1 w2", "w0 w0 w1 w1"]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model, found = katz.train(table.where("doc_id < 300"))
     score = plain_katz(texts[:300])
-    assert bool(model.discount) == (of == "words")
-    for got in (katz.score(table, model, found), katz_corpus.learn_and_score(table, F.col("doc_id") < 300), katz_corpus.learn_and_score(table, F.col("doc_id") < 300, block=150, part_bytes=900)):
-        rows = {r["doc_id"]: r for r in got.collect()}
+    assert [bool(d) for d in score.discounts] == ([True, True, False] if of == "words" else [False, True, True])
+    for options in ({}, {"block": 150, "part_bytes": 900}):
+        rows = {r["doc_id"]: r for r in katz.learn_and_score(table, F.col("doc_id") < 300, **options).collect()}
         assert set(rows) == set(range(len(texts))) and all(abs(rows[i]["score"] - score(t)) < 1e-6 for i, t in enumerate(texts))
 
 
-def test_rare_words_are_scored_by_the_table(spark):
-    docs = random_docs(spark, 120, 2)
-    one = {r["doc_id"]: r for r in katz.score(docs, *katz.train(docs, order=1, share=1e-6)).collect()}
-    two = {r["doc_id"]: r for r in katz.score(docs, *katz.train(docs, order=1, share=0.05)).collect()}
-    assert one.keys() == two.keys()
-    for d in one:
-        assert one[d]["score"] == pytest.approx(two[d]["score"]) and one[d]["base_score"] == pytest.approx(two[d]["base_score"]) and one[d]["n_known"] == two[d]["n_known"]
-
-
-def test_kept_ngrams_are_those_with_the_share(spark):
-    docs = random_docs(spark, 200, 3)
-    model, _ = katz.train(docs, order=2, share=0.01)
-    pairs, total = Counter(), 0
-    for r in docs.collect():
-        t = tokens_of(r["text"])
-        total += len(t)
-        pairs.update(zip(t, t[1:], strict=False))
-    words = Counter(x for r in docs.collect() for x in tokens_of(r["text"]))
-    least = math.ceil(0.01 * total)
-    want = sorted(c for (a, b), c in pairs.items() if c >= least and words[a] >= least and words[b] >= least)
-    assert sorted(model.counts[1].tolist()) == want and want
+def test_numbers_survive_packing():
+    rng = np.random.default_rng(3)
+    arrays = [np.zeros(0, np.uint64), np.arange(5), rng.integers(0, 2**63, 1000), np.array([2**64 - 1], np.uint64), np.zeros(7)]
+    assert all((a.astype(np.uint64) == b).all() and len(a) == len(b) for a, b in zip(arrays, katz.unpacked(katz.packed(*arrays)), strict=True))
 
 
 def test_held_out_text_is_better_predicted_than_by_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", held_out("doc_id", 10, 0), "text")
-    model, words = katz.train(docs.where("not held_out"))
-    out = katz.score(docs, model, words).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    out = katz.learn_and_score(docs, ~F.col("held_out")).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert out["sum(score)"] > out["sum(base_score)"]
 
 
 def test_learning_from_nothing(spark, empty, hard):
-    model, words = katz.train(empty.select("text"))
-    got = katz.score(hard.select("doc_id", "text"), model, words).collect()
+    got = katz.learn_and_score(hard.select("doc_id", "text"), F.lit(False)).collect()
     assert len(got) == hard.count() and all(r["score"] == 0 and r["base_score"] == pytest.approx(0) and r["n_known"] == 0 for r in got)
-    assert katz.score(empty.select("doc_id", "text"), model, words).count() == 0
+    assert katz.learn_and_score(empty.select("doc_id", "text"), F.lit(True)).count() == 0
+    assert katz.learn_and_score(hard, F.col("doc_id") < 7).columns == [c for c in hard.columns if c not in ("text", "score")] + list(katz.RESULTS)
 
 
 def toxic_docs(n, seed):
@@ -262,16 +243,18 @@ def test_toxicity_of_hard_rows(spark, hard, empty):
     assert {r["score"] for r in toxicity.score(hard, None).collect()} == {0.0}
 
 
-def test_katz_keeps_every_ngram_of_more_than_a_million_tokens(spark, tmp_path):
-    rnd = random.Random(7)
-    draw = lambda: f"w{min(int(rnd.paretovariate(0.6)), 3000)}"
-    texts = [" ".join(draw() for _ in range(400)) for _ in range(3100)]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r for r in queries.op9_katz_backoff(spark, str(tmp_path)).collect()}
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", held_out("doc_id", 10, 0), "text")
-    assert got[0]["train_tokens"] > 1_000_000
-    whole = {r["doc_id"]: r for r in katz.score(docs, *katz.train(docs.where("not held_out"), share=1e-9)).collect()}
-    assert got.keys() == whole.keys()
-    for d, r in whole.items():
-        assert got[d]["score"] == pytest.approx(r["score"]) and got[d]["base_score"] == pytest.approx(r["base_score"])
-        assert (got[d]["n_tokens"], got[d]["n_known"]) == (r["n_tokens"], r["n_known"])
+def test_discounts_hold_in_a_corpus_of_millions_of_tokens(spark):
+    """Above five million tokens n-grams seen once are still counted, discounted and used."""
+    rnd = np.random.default_rng(7)
+    texts = [" ".join(f"w{min(int(x), 400_000)}" for x in 30 * rnd.pareto(0.8, 1000)) for _ in range(5200)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in katz.learn_and_score(table, F.col("doc_id") < 9000).collect()}
+    assert got[0]["train_tokens"] == 5200 * 1001
+    w = [*texts[5].split(), None]
+    asked = {n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for n in (1, 2, 3)}
+    counts = Counter(g for t in texts for v in [[*t.split(), None]] for n in (1, 2, 3) for i in range(len(v) - n + 1) if (g := tuple(v[i : i + n])) in asked[n])
+    shares = [counts[tuple(w[max(0, i - 2) : i + 1])] / (counts[tuple(w[max(0, i - 2) : i])] if i else 5200 * 1001) for i in range(len(w))]
+    plain = sum(map(math.log10, shares))
+    once = sum(counts[tuple(w[i - 2 : i + 1])] == 1 for i in range(2, len(w)))
+    assert once > 500 and plain - 1.5 * once < got[5]["score"] < plain - 0.02 * once
+    assert got[5]["score"] > 0.9 * got[5]["base_score"]

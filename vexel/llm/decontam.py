@@ -27,9 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vexel.llm.katz import Index
 from vexel.llm.session import small_batches, written
-from vexel.llm.words import ALNUM, U64, mix, run_hashes, segments, text_chunks
+from vexel.llm.words import ALNUM, U64, Index, mix, run_hashes, segments, text_chunks
 
 MAX_EDITS, RECALL, SYMBOLS, WALKS = 0.2, 0.95, 3, 4
 #: Repetitions at most, far above what any length has been seen to need; windows keyed at a time.

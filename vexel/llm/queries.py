@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm import chat, decontam, jaccard_join, katz_corpus, lang_gru, packing, rp_forest, substring_dedup, toxicity, url_filter
+from vexel.llm import chat, decontam, jaccard_join, katz, lang_gru, packing, rp_forest, substring_dedup, toxicity, url_filter
 from vexel.llm.session import held_out, small
 
 
@@ -87,7 +87,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", held_out("doc_id", 10, 0), "text")
-    return katz_corpus.learn_and_score(docs, ~F.col("held_out"))
+    return katz.learn_and_score(docs, ~F.col("held_out"))
 
 
 def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.katz import Index, counted
-from vexel.llm.words import ALNUM, U64, mix, run_hashes, segments, text_chunks
+from vexel.llm.words import ALNUM, U64, Index, counted, mix, run_hashes, segments, text_chunks
 
 TERMS, LEAST, SAMPLE_ROWS, FACTORS = 1024, 5, 20_000, 8
 PREFIXES = (None, 4, 5)

@@ -116,3 +116,38 @@ def text_chunks(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int, li
 def segments(offsets: np.ndarray) -> np.ndarray:
     """For each element, the number of its text."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+class Index:
+    """Places of 64-bit values in a sorted array of well-mixed ones."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = U64(64 - max(1, int(np.log2(len(keys) + 1)) + 1))
+        self.start = np.searchsorted(keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=U64)).astype(np.int32)
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The place of each value, or -1."""
+        out = np.full(len(values), -1, np.int64)
+        if not len(self.keys):
+            return out
+        bucket = (values >> self.shift).astype(np.int64)
+        at, end = self.start[bucket], self.start[bucket + 1]
+        left = np.flatnonzero(at < end)
+        at, end, want = at[left], end[left], values[left]
+        while len(left):
+            same = self.keys[at] == want
+            out[left[same]] = at[same]
+            at = at + 1
+            go = ~same & (at < end)
+            left, at, end, want = left[go], at[go], end[go], want[go]
+        return out
+
+
+def counted(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    if counts is None:
+        return np.unique(values, return_counts=True)
+    order = np.argsort(values, kind="stable")
+    values, counts = values[order], counts[order]
+    first = np.flatnonzero(np.diff(values, prepend=values[:1] ^ U64(1))) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.add.reduceat(counts, first) if len(first) else counts
