@@ -8,7 +8,7 @@ from vexel import plans, sources, streaming
 from vexel.functions import filters as L
 from vexel.functions import text as X
 from vexel.functions import vectors as V
-from vexel.operators import access, indexes, kmeans, knn, quantize, rag, store
+from vexel.operators import access, indexes, kmeans, knn, learned, quantize, rag, recommend, shared, store
 from vexel.operators.running import running_total
 
 
@@ -211,3 +211,98 @@ def test_semantic_search_finds_long_texts(spark, tmp_path):
     rows = [(0, "alpha beta gamma"), (1, "delta epsilon"), (500, "alpha beta gamma " * 400)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert 500 in {r["id"] for r in l10_semantic_search(spark, str(tmp_path)).where("query_id = 0").collect()}
+
+
+def test_search_by_text_ids_and_ties(spark):
+    rows = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0]), ("d", None), ("e", [1.0, None]), ("f", [1.0])], "id string, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([("q", [1.0, 0.0]), ("r", None)], "query_id string, query array<double>")
+    for metric in knn.BATCHED:
+        got = [(r["rank"], r["id"]) for r in knn.search(rows, asked, 2, metric).orderBy("rank").collect()]
+        assert got == [(1, "a"), (2, "b")], metric
+
+
+@pytest.mark.parametrize("metric", knn.BATCHED)
+def test_search_and_radius_equal_numpy(spark, vecs, asked, metric):
+    x = {r["id"]: np.array(r["vector"], float) for r in vecs.collect()}
+    ids = np.array(sorted(x))
+    m = np.stack([x[i] for i in ids])
+    got, near = {}, {}
+    for r in knn.search(vecs.repartition(5), asked, 7, metric).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["id"], r["distance"])
+    for q in range(5):
+        d = knn.paired(m, np.tile(x[q], (len(m), 1)), metric)
+        order = np.lexsort((ids, d))[:7]
+        assert [got[q][i + 1][0] for i in range(7)] == ids[order].tolist() and np.allclose([got[q][i + 1][1] for i in range(7)], d[order])
+        near[q] = set(ids[d <= np.sort(d)[20] + 1e-12].tolist()), float(np.sort(d)[20] + 1e-12)
+    for q, (want, within) in near.items():
+        found = knn.radius(vecs, asked.where(F.col("query_id") == q), within, metric)
+        assert {r["id"] for r in found.collect()} == want
+
+
+def test_an_index_lives_on_disk(spark, vecs, asked):
+    index = indexes.train_index(vecs, 8, 4)
+    assert index.lists.count() == vecs.count() and "label" in index.lists.columns
+    path = shared.scratch(spark)
+    index.save(path)
+    again = indexes.load_index(spark, path)
+    assert np.allclose(again.centroids, index.centroids)
+    pick = lambda df: sorted((r["query_id"], r["rank"], r["id"]) for r in df.collect())
+    assert pick(again.search(asked, 5, 3)) == pick(index.search(asked, 5, 3))
+    assert again.retrained(2).lists.count() == vecs.count()
+    twice = indexes.build_lists(vecs.unionByName(vecs), index.centroids)
+    assert twice.count() == 2 * vecs.count()
+    with pytest.raises(ValueError):
+        indexes.train_index(vecs.limit(3), 8)
+    sure = indexes.search_in_rounds(index.lists, index.centroids, asked, 5, 8, 2.0)
+    assert pick(sure.drop("probed")) == pick(index.search(asked, 5, 8))
+
+
+def test_learned_distances(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.standard_normal((400, 6)), rng.standard_normal((400, 6))
+    same = np.sign(x[:, 0]) == np.sign(y[:, 0])
+    net = learned.fit_neural(x, y, (~same).astype(float), 16, 800)
+    assert np.mean((net(x, y) > 0.5) == ~same) > 0.9
+    m = learned.update_metric(np.eye(6), (x[same], y[same]), (x[~same], y[~same]), 0.02, 60)
+    gap = lambda a: np.linalg.norm((x - y) @ a.T, axis=1)
+    assert gap(m)[~same].mean() / gap(m)[same].mean() > gap(np.eye(6))[~same].mean() / gap(np.eye(6))[same].mean()
+    rows = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0]), (None, [1.0, 1.0])], "a array<double>, b array<double>")
+    got = [r["d"] for r in rows.select(learned.custom_distance(lambda p, q: np.abs(p - q).sum(axis=1))("a", "b").alias("d")).collect()]
+    assert got == [4.0, None]
+
+
+def test_chunks_overlap_by_whole_paragraphs():
+    paragraphs = [f"paragraph {i} " + "x" * 120 for i in range(12)]
+    found = X.cut_paragraphs("\n\n".join(paragraphs), 500, 150, 10)
+    for (_, one), (_, two) in zip(found, found[1:]):
+        assert two.startswith(one.split("\n\n")[-1]) and len(one) <= 500
+    assert {p for _, c in found for p in c.split("\n\n")} == set(paragraphs)
+    assert X.cut_paragraphs("a" * 30 + "\n\n" + "b" * 2000 + "\n\n" + "c" * 30, 500, 100, 10)[-1][1] == "c" * 30
+
+
+def test_embeddings(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, "b a"), (3, None), (4, "a b"), (5, "")], "id int, t string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        calls.add(len(texts))
+        return X.word_buckets(texts, 8)
+
+    got = {r["id"]: r["vector"] for r in X.embed_distinct(rows, "t", embed).collect()}
+    assert got[3] is None and got[1] == got[4] == got[2] and got[5] == [0.0] * 8 and calls.value == 3
+    one, two = X.word_buckets(["a b", "b a"], 64, 0.1)
+    assert not np.allclose(one, two) and np.isclose((one * one).sum(), 1)
+
+
+def test_nearest_users_leave_themselves_out(spark):
+    v = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(12)], "id int, vector array<double>")
+    near = recommend.nearest_users(v, 3).collect()
+    assert len(near) == 36 and all(r["user_id"] != r["other"] and r["distance"] < 1e-9 for r in near)
+
+
+def test_tiers_move_by_one_step(spark):
+    items = spark.createDataFrame([(1, "archive"), (2, "memory"), (3, "ssd"), (4, "memory")], "id int, tier string")
+    asked = spark.createDataFrame([(1, "promote"), (2, "promote"), (3, "demote")], "id int, decision string")
+    assert {r["id"]: (r["tier"], r["moved"]) for r in store.migrated(items, asked).collect()} == {1: ("ssd", True), 2: ("memory", False), 3: ("archive", True), 4: ("memory", False)}
+    copy = store.copy_verified(items, shared.scratch(spark))
+    assert copy.count() == 4

@@ -127,7 +127,7 @@ def fit_mini_batch(rows: DataFrame, k: int, iterations: int = 20, fraction: floa
     """Each iteration moves centroids by 1 / (iteration + 1) towards the means of a sample."""
     c = np.array(start, float) if start is not None else initial(rows, k, seed=seed)
     for it in range(iterations):
-        sums, weights, *_ = step(rows.sample(fraction, seed + it), c)
+        sums, weights, *_ = step(sample_random(rows, fraction, seed + it), c)
         mean = sums / np.where(weights > 0, weights, 1)[:, None]
         c = np.where(weights[:, None] > 0, c + (mean - c) / (it + 1), c)
     _, _, inertia, wcss, _ = step(rows, c)
@@ -178,15 +178,16 @@ def validate(assigned: DataFrame, centroids: np.ndarray) -> DataFrame:
     return error.crossJoin(stats).withColumn("separability", F.lit(min(1.0, min(gaps) / 10) if gaps else 0.0)).select("quantization_error", "balance", "separability", "coverage")
 
 
-def sample_random(rows: DataFrame, fraction: float, seed: int = 1) -> DataFrame:
-    return rows.sample(fraction, seed)
-
-
 def draw_order(seed: int = 1) -> Column:
     """A number from 0 to 2**48 by a hash of id and seed."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("id"))), 1, 12), 16, 10).cast("double")
 
 
+def sample_random(rows: DataFrame, fraction: float, seed: int = 1) -> DataFrame:
+    """Each row with that probability, by a seeded hash of its id: the same rows in every run and at every partitioning."""
+    return rows.where(draw_order(seed) < fraction * 2.0**48)
+
+
 def sample_reservoir(rows: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """n rows, every set of n as likely: those with the lowest seeded hashes."""
     return rows.orderBy(draw_order(seed), "id").limit(n)

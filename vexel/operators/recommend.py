@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vexel.operators import knn
+from vexel.operators.shared import written
 
 
 def best(scores: DataFrame, k: int, by: str = "user_id", id_col: str = "item_id") -> DataFrame:
@@ -31,6 +32,7 @@ def user_vectors(interactions: DataFrame, items: DataFrame, attribute: str) -> D
 
 def nearest_users(vectors: DataFrame, k: int = 20, metric: str = "cosine") -> DataFrame:
     """user_id, other, distance: each user's k nearest other users. Exact, block by block; for very many users, search lists instead."""
+    vectors = written(vectors)
     queries = vectors.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
     near = knn.search(vectors, queries, k + 1, metric).where("id != query_id")
     w = Window.partitionBy("query_id").orderBy("rank")

@@ -1,4 +1,4 @@
-"""Access analytics A35 to A41, M7, M11 and R3 (batch form) over events: key = event_type or user, size from value, as of the last event."""
+"""Access analytics A35 to A41, M7, M11 and R6 over events: key = event_type or user, size from value, as of the last event."""
 
 from __future__ import annotations
 
@@ -94,10 +94,6 @@ def m11_prefetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.prefetch(typed, "user_id", 2, 0.1).select("prev", "key", r("share"))
 
 
-def r3_hourly_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log(spark, sf_dir).groupBy(F.date_trunc("hour", "ts").cast("string").alias("hour"), "event_type").agg(F.count("*").alias("n"))
-
-
 def r6_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of a user with gaps below an hour: how many of each size."""
     s = log(spark, sf_dir).groupBy("key", F.session_window("ts", "1 hour")).agg(F.count("*").alias("n"))
@@ -120,7 +116,7 @@ def m11_prefetch_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.prefetch_frequent(log(spark, sf_dir), 10)
 
 
-FUNCTIONS = (m11_prefetch_by_time, m11_prefetch_sequence, m11_prefetch_frequent, a35_hot_and_cold, a35_runs, a35_reuse, a35_transitions, a36_related, a37_temperature, a38_rates, a39_scores, a40_patterns, a41_tracker_statistics, t11_hottest, t11_migration_candidates, m7_migrations, m11_prefetch, r3_hourly_buckets, r6_sessions)
+FUNCTIONS = (m11_prefetch_by_time, m11_prefetch_sequence, m11_prefetch_frequent, a35_hot_and_cold, a35_runs, a35_reuse, a35_transitions, a36_related, a37_temperature, a38_rates, a39_scores, a40_patterns, a41_tracker_statistics, t11_hottest, t11_migration_candidates, m7_migrations, m11_prefetch, r6_sessions)
 QUERIES |= {f.__name__: f for f in FUNCTIONS}
 
 ORACLES["a35_hot_and_cold"] = f"{SQL}, o as (select accesses, row_number() over (order by accesses desc) as p, count(*) over () as n from k), e as (select max(accesses) as edge from o where p >= greatest(1, floor(n * 0.2))) select key, accesses, case when accesses >= edge then 'hot' when accesses <= 2 then 'cold' else 'warm' end as heat from k, e"
@@ -139,7 +135,6 @@ ORACLES["a41_tracker_statistics"] = f"{SQL} select count(*) as keys, round(avg(t
 ORACLES["t11_hottest"] = f"{SQL} select key, round(temperature, 6) as temperature from temps order by temps.temperature desc, key limit 10"
 ORACLES["t11_migration_candidates"] = f"{SQL} select key, round(abs(temperature - 0.5), 6) as distance from temps order by abs(temperature - 0.5) desc, key limit 10"
 ORACLES["m7_migrations"] = f"{SQL} select key, case when hours < 1 then 'keep' when temperature > 0.4 then 'promote' when temperature < 0.3 then 'demote' else 'keep' end as decision from temps"
-ORACLES["r3_hourly_buckets"] = "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(*) as n from events group by 1, 2"
 ORACLES["r6_sessions"] = f"{GAPS}, m as (select key, sum(case when gap < 3600 then 0 else 1 end) over (partition by key order by ts, event_id) as run from w), c as (select key, run, count(*) as n from m group by 1, 2) select n, count(*) as sessions from c group by 1"
 ORACLES["m11_prefetch_by_time"] = f"""{SQL}, w as (select event_type as prev, t, lead(event_type, 1) over v as k1, lead(t, 1) over v as t1, lead(event_type, 2) over v as k2, lead(t, 2) over v as t2, lead(event_type, 3) over v as k3, lead(t, 3) over v as t3 from log window v as (partition by user_id order by ts, event_id)),
 l as (select prev, k1 as key, t1 - t as gap from w union all select prev, k2, t2 - t from w union all select prev, k3, t3 - t from w), c as (select prev, key, count(*) as n from l where gap <= 7200 and key <> prev group by 1, 2),

@@ -51,6 +51,22 @@ def _about(spark: SparkSession, r: kmeans.Result) -> DataFrame:
     return spark.createDataFrame([(len(r.centroids), r.iterations, r.converged, float(r.inertia), float(r.wcss))], "clusters int, iterations int, converged boolean, inertia double, wcss double")
 
 
+def _cells(spark: SparkSession, table: DataFrame, c: np.ndarray) -> DataFrame:
+    return kmeans.centroid_table(table, c).select("cluster", F.posexplode("centroid").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+def a1_three_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroids after three of Lloyd's iterations from vectors 0 to 7."""
+    table = rows(spark, sf_dir)
+    return _cells(spark, table, kmeans.fit(table, 8, 3, start=fixed_centroids(spark, sf_dir), tolerance=0).centroids)
+
+
+def a2_mini_batch_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroids after three mini-batches of about half of the rows each, from vectors 0 to 7."""
+    table = rows(spark, sf_dir)
+    return _cells(spark, table, kmeans.fit_mini_batch(table, 8, 3, 0.5, start=fixed_centroids(spark, sf_dir)).centroids)
+
+
 def a8_list_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over ten lists, of which two stay empty."""
     s = kmeans.list_statistics(kmeans.assign(rows(spark, sf_dir), fixed_centroids(spark, sf_dir)), 10)
@@ -245,7 +261,7 @@ def v41_matrix_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("x", F.coalesce(F.nullif("x", F.lit(0.0)), F.lit(0.0)))
 
 
-FUNCTIONS = (a25_pca_checks, a5_soft_centroids, z4_rounded_codes, v41_matrix_operations, j7_assign, a1_one_step, a3_weighted_step, a4_inertia, a1_lloyd, a2_mini_batch, a8_list_statistics, a16_validation, a10_random_sample, a11_stratified_sample, a12_reservoir_sample, a13_coreset, a14_sample_size, a15_importance_sample, a17_online_update, a22_scalar_statistics, a23_dimension_variance, z1_scalar_codes, z2_scalar_restored, z3_rowwise_codes, z1_half_precision, z5_product_codes, z6_code_distances, z7_rotated_product_codes, z8_binary_search, z10_savings, a25_pca, a25_covariance, a26_random_projection, a5_soft_clusters)
+FUNCTIONS = (a1_three_steps, a2_mini_batch_centroids, a25_pca_checks, a5_soft_centroids, z4_rounded_codes, v41_matrix_operations, j7_assign, a1_one_step, a3_weighted_step, a4_inertia, a1_lloyd, a2_mini_batch, a8_list_statistics, a16_validation, a10_random_sample, a11_stratified_sample, a12_reservoir_sample, a13_coreset, a14_sample_size, a15_importance_sample, a17_online_update, a22_scalar_statistics, a23_dimension_variance, z1_scalar_codes, z2_scalar_restored, z3_rowwise_codes, z1_half_precision, z5_product_codes, z6_code_distances, z7_rotated_product_codes, z8_binary_search, z10_savings, a25_pca, a25_covariance, a26_random_projection, a5_soft_clusters)
 QUERIES |= {f.__name__: f for f in FUNCTIONS}
 
 CELLS = f"""{MACRO}, cd as (select a.id as id, b.id as cluster, list_distance(a.v, b.v) as distance, row_number() over (partition by a.id order by list_distance(a.v, b.v), b.id) as place from b as a, b where b.id < 8),
@@ -292,3 +308,18 @@ ORACLES["z1_half_precision"] = "with x as (select vec_id as id, cast(unnest(embe
 ORACLES["z6_code_distances"] = "select 0.0 as difference, 5 * count(*) as pairs from embeddings"
 _PROJECTED = ", ".join(f"({i}, {j}, {float(x)!r})" for (i, j), x in np.ndenumerate(quantize.random_projection(64, 16).matrix))
 ORACLES["a26_random_projection"] = f"{MACRO}{LONG}, m as (select * from (values {_PROJECTED}) as t(k, i, y)), p as (select id, k, sum(x * y) as p from long join m using (i) group by 1, 2), q as (select id, sum(p * p) as q from p group by 1) select round(avg(q / (n * n)), 6) as ratio from q join b using (id)"
+ORACLES["a10_random_sample"] = "select vec_id as id from embeddings where cast('0x' || substr(md5('1:' || vec_id), 1, 12) as bigint) < 0.2 * pow(2, 48)"
+
+
+def _moving(steps: int, of: str, share: str) -> str:
+    """Steps of centroids c0 to c<steps> towards the means of the rows that `of` picks (with {n}), by the share (with {n})."""
+    out = f"{MACRO}{LONG}, c0 as (select cast(id as int) as cluster, v from b where id < 8)"
+    for n in range(steps):
+        out += f""", g{n} as (select l.id, c.cluster, row_number() over (partition by l.id order by list_distance(l.v, c.v), c.cluster) as place from b l, c{n} c where {of.format(n=n)}),
+s{n} as (select g.cluster, long.i, avg(long.x) as mean from g{n} g join long on long.id = g.id where g.place = 1 group by 1, 2), x{n} as (select c.cluster, unnest(range(64)) as i, unnest(c.v) as x from c{n} c),
+c{n + 1} as (select x.cluster, list(x.x + {share.format(n=n)} * (coalesce(s.mean, x.x) - x.x) order by x.i) as v from x{n} x left join s{n} s on s.cluster = x.cluster and s.i = x.i group by 1)"""
+    return out + f" select cluster, cast(unnest(range(64)) as int) as i, round(unnest(v), 6) as x from c{steps}"
+
+
+ORACLES["a1_three_steps"] = _moving(3, "true", "1")
+ORACLES["a2_mini_batch_centroids"] = _moving(3, "cast('0x' || substr(md5((1 + {n}) || ':' || l.id), 1, 12) as bigint) < 0.5 * pow(2, 48)", "1.0 / ({n} + 1)")

@@ -173,6 +173,19 @@ def x10_learned_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.recall(knn.search(table, asked(table), 10, "cosine"), indexes.search_hashes(indexes.hash_table(table, h), table, asked(table), h, 10, 1))
 
 
+def m14_planned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adaptive strategy searches lists where the table has more rows than it scans exactly."""
+    table, c = rows(spark, sf_dir), fixed_centroids(spark, sf_dir)
+    index = plans.Index(indexes.build_lists(table, c), c)
+    config = plans.preset("quick", probes=3, exact_up_to=100)
+    return six(plans.search(table, asked(table), 10, "euclidean", "adaptive", index=index, config=config))
+
+
+def c1_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = [(n, c.dimension, c.lists, c.probes, c.strategy) for n, c in plans.PRESETS.items()]
+    return spark.createDataFrame(made, "preset string, dimension int, lists int, probes int, strategy string")
+
+
 def u2_hybrid_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of the lists and of the exact search together, once each."""
     table, c = rows(spark, sf_dir), fixed_centroids(spark, sf_dir)
@@ -347,7 +360,7 @@ def f14_batch_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return six(knn.search(table, asked(table, 5), 5, where=L.compile_filter(tree, metadata=None, mode="typed")))
 
 
-FUNCTIONS = (x3_perturbed_probes, x4_early_termination, x17_stored_lists, a7_trained_lists, a7_retrained_lists, x11_routed_lists, a6_needed_probes, a6_predicted_probes, x10_learned_hashes, u2_hybrid_union, v16_neural_distance, v16_fitted_neural, v18_metric_update, x1_exact_knn_cosine_filtered, j1_distance_join, j2_self_matrix, j4_radius_join, x2_inverted_lists, x2_inverted_lists_filtered, x8_exact_strategy, x3_adaptive_probes, x5_query_difficulty, x9_hash_search, x9_hash_families, x9_collision_similarity, a33_hash_statistics, x12_rerank, x13_semantic_rerank, x16_list_checks, a28_search_quality, a29_recall, a30_ndcg, u1_candidate_union, u5_except, t5_limit_offset, v19_adaptive_metric, v20_metric_tuning, v18_matrix_metric, l20_fused_vectors, f14_batch_filter)
+FUNCTIONS = (m14_planned_search, c1_presets, x3_perturbed_probes, x4_early_termination, x17_stored_lists, a7_trained_lists, a7_retrained_lists, x11_routed_lists, a6_needed_probes, a6_predicted_probes, x10_learned_hashes, u2_hybrid_union, v16_neural_distance, v16_fitted_neural, v18_metric_update, x1_exact_knn_cosine_filtered, j1_distance_join, j2_self_matrix, j4_radius_join, x2_inverted_lists, x2_inverted_lists_filtered, x8_exact_strategy, x3_adaptive_probes, x5_query_difficulty, x9_hash_search, x9_hash_families, x9_collision_similarity, a33_hash_statistics, x12_rerank, x13_semantic_rerank, x16_list_checks, a28_search_quality, a29_recall, a30_ndcg, u1_candidate_union, u5_except, t5_limit_offset, v19_adaptive_metric, v20_metric_tuning, v18_matrix_metric, l20_fused_vectors, f14_batch_filter)
 QUERIES |= {f.__name__: f for f in FUNCTIONS}
 
 EUC, L1, CO = DISTANCES["euclidean"], DISTANCES["manhattan"], DISTANCES["cosine"]
@@ -448,3 +461,5 @@ ORACLES["a33_hash_statistics"] = f"{_SIGNS}, n as (select t, bucket, count(*) as
 ORACLES["x9_hash_search"] = f"""{_SIGNS}, c as (select distinct q.id as query_id, h.id from h q join h on h.t = q.t and bit_count(cast(xor(cast(q.bucket as bigint), cast(h.bucket as bigint)) as bigint)) <= 1 where q.id < 20),
 d as (select query_id, c.id, {CO} as distance from c join b as a on a.id = query_id join b on b.id = c.id), r as (select *, row_number() over (partition by query_id order by distance, id) as rank from d)
 select query_id, rank, id, coalesce(nullif(round(distance, 6), 0), 0) as distance from r where rank <= 10"""
+ORACLES["m14_planned_search"] = ORACLES["x2_inverted_lists"]
+ORACLES["c1_presets"] = "select * from (values ('quick', 128, 16, 4, 'adaptive'), ('research', 768, 1024, 64, 'exact'), ('production', 768, 1024, 16, 'adaptive'), ('enterprise', 1536, 4096, 32, 'adaptive'), ('embedded', 64, 16, 2, 'adaptive')) as t(preset, dimension, lists, probes, strategy)"

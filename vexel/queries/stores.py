@@ -181,6 +181,24 @@ def m13_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(S.partition_of(F.col("o_totalprice"), "range", 4, [1e5, 2e5, 3e5]).alias("by_range"), S.partition_of(F.col("o_orderkey"), "modulo", 3).cast("int").alias("by_modulo"), S.partition_of(F.col("o_orderdate"), "hour", 4).alias("by_hour")).agg(F.count("*").alias("n"))
 
 
+def r3_hourly_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events streamed into hourly counts with a week's retention."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.date_trunc("second", "ts").alias("ts"), F.col("event_type").alias("key"))
+    source, out, state = scratch(spark), scratch(spark), scratch(spark)
+    e.write.parquet(source)
+    counts = streaming.hourly(streaming.read_stream(spark, source, "event_id long, ts timestamp, key string", 1000))
+    counts.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/{n}")).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{out}/*").groupBy("hour", "key").agg(F.max("n").alias("n"))
+    return found.select(F.col("hour").cast("string").alias("hour"), F.col("key").alias("event_type"), "n")
+
+
+def s7_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest beside an export says."""
+    path = scratch(spark)
+    sources.write_json(vectors(spark, sf_dir), path, vectors=False)
+    return spark.read.schema("version int, dimensions int, count long").json(f"{path}.manifest")
+
+
 def r1_stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events streamed file by file into hourly counts equal those of the batch."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.date_trunc("second", "ts").alias("ts"), F.col("event_type").alias("key"))
@@ -268,7 +286,7 @@ def r4_online_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.centroid_table(rows(spark, sf_dir), online.centroids).select("cluster", F.posexplode("centroid").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-FUNCTIONS = (s1_json_array, s6_sniffed_formats, s20_query_batch, m8_migration_cycle, n9_verified_copy, r4_online_centroids, s1_json_round_trip, s3_csv_round_trip, s4_parquet_round_trip, s11_base64_rows, s13_filtered_scan, s14_lookup, s15_prefix_scan, s16_contains, s20_query_input, s21_result_output, m1_upsert, m2_update, m3_delete, m5_compact, m4_bulk_load, s18_snapshot, m1_validation, m6_tiers, a32_tier_statistics, m12_integrity, a31_statistics, a42_magnitude_histogram, m13_partitions, r1_stream_batches)
+FUNCTIONS = (r3_hourly_buckets, s7_manifest, s1_json_array, s6_sniffed_formats, s20_query_batch, m8_migration_cycle, n9_verified_copy, r4_online_centroids, s1_json_round_trip, s3_csv_round_trip, s4_parquet_round_trip, s11_base64_rows, s13_filtered_scan, s14_lookup, s15_prefix_scan, s16_contains, s20_query_input, s21_result_output, m1_upsert, m2_update, m3_delete, m5_compact, m4_bulk_load, s18_snapshot, m1_validation, m6_tiers, a32_tier_statistics, m12_integrity, a31_statistics, a42_magnitude_histogram, m13_partitions, r1_stream_batches)
 QUERIES |= {f.__name__: f for f in FUNCTIONS}
 for _n in ("s1_json_round_trip", "s3_csv_round_trip", "s4_parquet_round_trip", "s11_base64_rows", "s18_snapshot"):
     ORACLES[_n] = DIGEST_SQL
@@ -305,3 +323,5 @@ ORACLES["n9_verified_copy"] = DIGEST_SQL
 ORACLES["r4_online_centroids"] = """with b as (select vec_id as id, cast(embedding as double[]) as v from embeddings), cd as (select a.id as id, b.id as cluster, row_number() over (partition by a.id order by list_distance(a.v, b.v), b.id) as place from b as a, b where b.id < 8),
 long as (select id, generate_subscripts(v, 1) - 1 as i, unnest(v) as x from b), m as (select cluster, i, avg(x) as mean from cd join long using (id) where place = 1 group by 1, 2)
 select cast(m.cluster as int) as cluster, m.i, round((mean + long.x) / 2, 6) as x from m join long on long.id = m.cluster and long.i = m.i"""
+ORACLES["r3_hourly_buckets"] = "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(*) as n from events group by 1, 2"
+ORACLES["s7_manifest"] = "select 1 as version, 64 as dimensions, count(*) as count from embeddings"

@@ -186,7 +186,7 @@ select r.query_id, r.retrieved, coalesce(included, 0) as included, round(relevan
 ORACLES["l16_assembly"] = f"""{RANKED}, t as (select conv_id, turn, cast(floor((length(coalesce(text, '')) + 3) / 4) as bigint) as tokens from conversations),
 h as (select *, sum(tokens) over (partition by conv_id order by turn desc) as used from t), p as (select * from h where used <= 1000), spent as (select conv_id, max(used) as spent from p group by 1),
 e as (select query_id, id, tokens % 200 as tokens, sum(tokens % 200) over (partition by query_id order by id) as used from c where id % 10 < 4), x as (select e.* from e left join spent s on s.conv_id = e.query_id where used <= least(500, floor((3000 - coalesce(spent, 0)) / 4))),
-both as (select conv_id as query_id, tokens from p union all select query_id, tokens from x), taken as (select query_id, sum(tokens) as spent from both group by 1),
+pair as (select conv_id as query_id, tokens from p union all select query_id, tokens from x), taken as (select query_id, sum(tokens) as spent from pair group by 1),
 k as (select c.*, sum(tokens) over (partition by query_id order by score desc, id) as upto from c)
 select conv_id as query_id, 'history' as kind, cast(turn as varchar) as id, tokens from p union all select query_id, 'example', cast(id as varchar), tokens from x
 union all select k.query_id, 'chunk', cast(k.id as varchar), k.tokens from k left join taken s on s.query_id = k.query_id where upto <= 3000 - coalesce(spent, 0)"""
