@@ -36,11 +36,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexel.llm.session import small_batches, written
+from vexel.llm.session import new_path, removed, small_batches, written
 from vexel.llm.words import U64, mix, text_chunks, word_hashes
 
 END = U64(0x1D8AF0C3E5B79264)
-ORDER, DISCOUNTED, BLOCK, PART_BYTES = 3, 5, 1_200_000, 8_000_000
+ORDER, DISCOUNTED, BLOCK, PART_BYTES = 3, 5, 1_000_000, 7_000_000
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 MESSAGE = "level int, part int, block long, a long, b long, data binary"
 #: What rows of an answer table are.
@@ -443,9 +443,12 @@ def learn_and_score(docs: DataFrame, learn: Column, order: int = ORDER, block: i
     keep = [c for c in docs.columns if c != "text" and c not in RESULTS]
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     f = Figures(max(1, round(size / part_bytes)))
-    read = written(read_blocks(docs, learn, keep, f.parts, block), "blocks")
+    path, found = new_path(spark, "blocks"), read_blocks(docs, learn, keep, f.parts, block)
+    found.write.partitionBy("level").parquet(path)
+    read = spark.read.schema(found.schema).parquet(path)
     blocks = read.where("level = 0")
     answers = [written(read.where("level = 1").groupBy("part").applyInArrow(_count_words(f.parts), MESSAGE), "answers")]
+    removed(spark, f"{path}/level=1")  # the requests for words, which were answered
     _freed(spark)
     runs = answers[0].where(F.col("level") == COUNTS).groupBy("a").agg(F.max("b").alias("most"), F.sum("b").alias("n")).orderBy(F.desc("a")).collect()
     f.counts = np.array([r["a"] for r in runs], np.int64)
