@@ -6,7 +6,7 @@ Escaping doubles backslashes and puts `\\-` behind the first letter of every con
 
 Conversations are dealt by conv_id, sorted by turn (ties by role, then text) and streamed: a task holds one batch of
 rows and one conversation's digests, however long the conversation is. Null texts and roles count as empty; rows without conv_id
-are left out. Repeated rows are turns each. Extra columns are ignored.
+are left out. Repeated rows are turns each. The empty table gives the empty table. Extra columns are ignored.
 A conversation that the machine refuses is formatted all the same; `valid` is false and `bad_turn` is the first turn, in
 order from 0, that it refuses (the number of turns, where only the end is wrong).
 """

@@ -6,7 +6,8 @@ Training is numpy backpropagation through time on a bounded sample: `docs_per_la
 its positions (padding and ASCII other than letters aside).
 
 Null texts and texts without a letter get `und` and score 0; so does everything where there is nothing to learn from.
-Ties go to the language first in order. Extra columns are not returned. Repeated rows are predicted each.
+Ties go to the language first in order. Extra columns are not returned. Repeated rows are predicted each; the empty table gives
+the empty table. Rows without doc_id are ranked by their text where the sample is drawn.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ Learning: every labelled row counts towards the terms' document frequencies by l
 the G statistic, in at least `least` rows) are the machine's. It is fitted in numpy on a bounded sample: the
 `sample_rows` labelled rows whose ids hash lowest, of which only these terms reach the driver.
 
-Null and empty texts have no terms and get the bias alone. Without labels of both kinds every score is 0.
-Rows labelled twice count twice. Extra columns are not returned.
+Null and empty texts have no terms and get the bias alone. Without labels of both kinds every score is 0. Texts of any length
+are read whole; of terms equally telling those with the smaller hash are taken. Rows labelled twice count twice, repeated rows are
+scored each, the empty table gives the empty table. Extra columns are not returned, nor read, whatever their names.
 """
 
 from __future__ import annotations
