@@ -103,7 +103,7 @@ def by_content(profiles: DataFrame, items: DataFrame, least: float = 0.5, each:
     if also is not None:
         asked = also.select("user_id", "item_id").distinct().join(base.select("item_id", "category", "own"), "item_id")
         found = found.unionByName(asked.join(shares(profiles), ["user_id", "category"]).select("user_id", "item_id", score.alias("score"))).distinct()
-    return found.where(F.col("score") > least)
+    return found.where(F.round("score", 9) > least)  # sums in another order don't cross the bound
 
 
 def fuse(parts: list[tuple[DataFrame, float]], keys: list[str]) -> DataFrame:

@@ -157,7 +157,7 @@ ORACLES["a44_profile"] = f"{SQL} select user_id, category, cast(weight as double
 ORACLES["a44_attribute_profile"] = f"{SQL}, l as (select item_id, unnest(attributes) as attribute from items) select user_id, attribute, round(count(*) * 0.3, 6) as weight from inter join l using (item_id) group by 1, 2"
 P3 = """, sh as (select user_id, category, weight / max(weight) over (partition by user_id) as share from prof),
 co as (select user_id, item_id, least(1, 0.4 * share + 0.2 * (case when ends_with(brand, '1') then 1.0 else 0.2 end) + 0.2 * (case when price between 1000 and 1500 then 1.0 when price between 500 and 2250 then 0.5 else 0 end) + 0.2 * (item_id % 10 / 10.0)) as score from sh join items using (category)),
-cs as (select * from co where score > 0.5)"""
+cs as (select * from co where round(score, 9) > 0.5)"""
 ORACLES["p3_by_content"] = f"{SQL}{P3}, b as (select *, row_number() over (partition by user_id order by round(score, 9) desc, item_id) as rank from cs) select user_id, rank, item_id, round(score, 6) as score from b where rank <= 5"
 ORACLES["p5_realtime"] = f"{SQL} select item_id, round((item_id % 100 / 100.0) * case when category = 'ECONOMY' then 1.2 else 1 end * case when price < 1200 then 1.1 else 1 end * case when category = 'STANDARD' then 1.3 else 1 end * case when category = 'PROMO' then 1.5 else 1 end, 6) as score from items"
 ORACLES["p6_popular"] = f"{SQL}, c as (select item_id, count(*) as n from inter group by 1), r as (select *, row_number() over (order by n desc, item_id) as rank from c) select rank, item_id, n from r where rank <= 10"

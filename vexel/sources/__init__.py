@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-EXTENSIONS = {".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".csv": "csv", ".parquet": "parquet", ".bin": "parquet", ".vsk": "parquet", ".h5": "hdf5", ".hdf5": "hdf5"}
+EXTENSIONS = {".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".csv": "csv", ".parquet": "parquet", ".bin": "parquet", ".h5": "hdf5", ".hdf5": "hdf5"}
 
 
 def format_of(path: str, first: str = "", default: str = "parquet") -> str:
