@@ -278,7 +278,7 @@ def links(docs: DataFrame, sizes: dict[int, int], reps: DataFrame, words: int =
     joined = met.join(small(first, 1_000_000), "node", "left").select("key", "node", "n", "place", F.coalesce("component", "node").alias("component"))
     # Only lists with sets of several components go on; minima are taken in each task first, so that a list of copies burdens none.
     several = written(joined.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key"), "several")
-    mixed = joined.join(small(several, 1_000_000), "key", "left_semi")
+    mixed = joined.join(several, "key", "left_semi")
     cross = mixed.repartition("key").sortWithinPartitions("key", "n", "node").mapInPandas(_cross, "a long, b long").distinct()
     more = written(verified(docs, cross, reps, words), "links")
     return near.unionByName(more)
